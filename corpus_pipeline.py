@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cartoloom.llm import simhash
+from cartoloom.llm import mixing, packing, pii, quality, simhash
 from cartoloom.llm._spark import stored, table
 
-STAGES = [("simhash_near_dedup", simhash.near_dedup)]
+STAGES = [
+    ("quality_rules", quality.filter_quality),
+    ("simhash_near_dedup", simhash.near_dedup),
+    ("pii", pii.redact),
+    ("mix_sources", mixing.mix_sources),
+    ("best_fit_packing", packing.best_fit_pack),
+]
 
 #: The fitted models and the knapsack of a stage have no equivalent in SQL; tests compare with brute force.
 ORACLE_SQL = None
