@@ -97,21 +97,22 @@ def mix(lengths: DataFrame, weights: dict[str, float] | None = None, seed: int =
     cells = cut(lengths.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")))
     supply = cells.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("supply"))
     given = spark.createDataFrame([(k, float(v)) for k, v in (weights or {}).items()], "of string, weight double")
-    supply = supply.join(given, supply["source"].eqNullSafe(given["of"]), "left").select("source", "supply", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    supply = supply.join(given, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "supply", F.coalesce("weight", F.lit(1.0)).alias("weight"))
     least = supply.where("weight > 0").agg(F.min(F.col("supply") / F.col("weight")).alias("unit"))
-    budgets = supply.crossJoin(least).select("source", F.floor(F.col("unit") * F.col("weight")).alias("budget"))
+    budgets = supply.crossJoin(least).select(F.col("source").alias("of"), F.floor(F.col("unit") * F.col("weight")).alias("budget"))
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("n_tokens")
         take = fit(cell["n_tokens"].to_numpy(), cell["docs"].to_numpy(), int(cell["budget"].iloc[0]), seed)
         return pd.DataFrame({"source": cell["source"], "n_tokens": cell["n_tokens"], "take": take})
 
-    here = cells.join(budgets, cells["source"].eqNullSafe(budgets["source"])).select(cells["source"], "n_tokens", "docs", "budget")
+    here = cells.join(budgets, F.col("source").eqNullSafe(F.col("of"))).select("source", "n_tokens", "docs", "budget")
     takes = here.groupBy("source").applyInPandas(run, "source string, n_tokens long, take long").where("take > 0")
+    takes = takes.select(F.col("source").alias("of"), F.col("n_tokens").alias("length"), "take")
     rank = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
     ranked = lengths.withColumn("rank", rank)
-    on = ranked["source"].eqNullSafe(takes["source"]) & (ranked["n_tokens"] == takes["n_tokens"]) & (ranked["rank"] <= takes["take"])
-    return ranked.join(takes, on).select("doc_id", ranked["source"], ranked["n_tokens"])
+    on = F.col("source").eqNullSafe(F.col("of")) & (F.col("n_tokens") == F.col("length")) & (F.col("rank") <= F.col("take"))
+    return ranked.join(takes, on).select("doc_id", "source", "n_tokens")
 
 
 def _measured(docs: DataFrame, **tokenizer: str) -> DataFrame:
