@@ -8,7 +8,8 @@ from cartoloom.llm.packing import op2_best_fit_packing
 from cartoloom.llm.pii import op8_pii
 from cartoloom.llm.quality import op7_quality_rules
 from cartoloom.llm.simhash import op9_simhash_near_dedup
+from cartoloom.llm.toxicity import op4_toxicity
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op5_mix_sources, op7_quality_rules, op8_pii, op9_simhash_near_dedup, op10_factorisation_machine)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op4_toxicity, op5_mix_sources, op7_quality_rules, op8_pii, op9_simhash_near_dedup, op10_factorisation_machine)}
 #: The fitted models, the knapsack, the packing and the fingerprints have no SQL; tests compare with brute force.
 ORACLE_SQL: dict[str, str] = {}
