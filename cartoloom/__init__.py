@@ -1,0 +1 @@
+"""Cartoloom: geographic extracts and encyclopedia dumps as Spark DataFrames."""

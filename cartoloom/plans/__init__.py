@@ -1,0 +1 @@
+"""Whole tools as plans: from a source to lines or files."""
