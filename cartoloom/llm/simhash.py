@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
-from cartoloom.llm._spark import cut, table
+from cartoloom.llm._spark import cut, stored, table
 
 TAU = 16
 #: (half, shift, width) of each segment; budgets sum to TAU - 5.
@@ -71,31 +71,35 @@ def _part(column: Column, shift: int, width: int) -> Column:
     return F.shiftrightunsigned(column, shift).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _variants(spark: SparkSession) -> DataFrame:
-    """One row for each segment and each change of at most one bit: 134 rows, whatever the data."""
+def _variants() -> Column:
+    """A struct for each segment and each change of at most one bit: 134 in all, whatever the data."""
     rows = [(i, half, shift, (1 << width) - 1, flip, 0 if flip < 0 else 1 << flip) for i, (half, shift, width) in enumerate(SEGMENTS) for flip in range(-1, width)]
-    return spark.createDataFrame(rows, "seg int, half int, shift int, mask long, flip int, change long")
+    names = ("seg", "half", "shift", "mask", "flip", "change")
+    return F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(names, row))) for row in rows))
 
 
 def near_pairs(distinct: DataFrame) -> DataFrame:
-    """All pairs of the distinct fingerprints (h1, h2) within TAU: a1, a2, b1, b2, distance."""
+    """All pairs of the distinct fingerprints (h1, h2) within TAU: a1, a2, b1, b2, distance.
+
+    Both sides of the join are one table of 134 narrow rows for a fingerprint; given a stored table, it is shuffled once.
+    """
     part = F.expr("(shiftrightunsigned(CASE WHEN half = 0 THEN h1 ELSE h2 END, shift) & mask) ^ change")
-    keyed = distinct.crossJoin(F.broadcast(_variants(distinct.sparkSession))).select(((F.col("seg").cast("long") * (1 << 22)) + part).cast("int").alias("key"), "flip", "h1", "h2")
+    keyed = distinct.select("h1", "h2", F.inline(_variants())).select(((F.col("seg").cast("long") * (1 << 22)) + part).cast("int").alias("key"), "flip", "h1", "h2")
     a, b = (keyed.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("flip", "h1", "h2"))) for side in "ab")
     x = {0: F.col("a_h1").bitwiseXOR(F.col("b_h1")), 1: F.col("a_h2").bitwiseXOR(F.col("b_h2"))}
     diff = [F.bit_count(_part(x[half], shift, width)) for half, shift, width in SEGMENTS]
     seg = F.shiftright("key", 22)
-    chains = F.lit(False)
+    chains = None  # a CASE, which the optimiser leaves whole: nothing of it is pushed to one side, so both share a shuffle
     m = len(SEGMENTS)
     for i in range(m):
-        ok = seg == i
+        ok = F.lit(True)
         for length in range(1, m + 1):
             ring = [(i + k) % m for k in range(length)]
             total = diff[ring[0]]
             for j in ring[1:]:
                 total = total + diff[j]
             ok = ok & (total <= sum(BUDGETS[j] + 1 for j in ring) - 1)
-        chains = chains | ok
+        chains = (F if chains is None else chains).when(seg == i, ok)
     # each unordered pair, and each way in which its segments can meet, once
     once = (F.col("a_flip") < F.col("b_flip")) | ((F.col("a_flip") == -1) & (F.col("b_flip") == -1))
     ordered = (F.col("a_h1") < F.col("b_h1")) | ((F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") < F.col("b_h2")))
@@ -131,7 +135,7 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, duplicate_of) for every document that isn't the least of its group."""
     fp = cut(fingerprints(docs))
-    heads = cut(fp.groupBy("h1", "h2").agg(F.min("doc_id").alias("head")))
+    heads = stored(fp.groupBy("h1", "h2").agg(F.min("doc_id").alias("head")))
     pairs = near_pairs(heads.select("h1", "h2"))
     left, right = heads.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("head").alias("u")), heads.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("head").alias("v"))
     roots = components(pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("u", "v"))

@@ -10,7 +10,7 @@ from cartoloom.schemas import XML_PAGE
 
 def parse_pages(xml: DataFrame) -> DataFrame:
     """(id, title, ns, text): text is the first revision's, null for a page without one."""
-    page = xml.select(F.from_xml("xml", XML_PAGE).alias("page"))
+    page = xml.select(F.from_xml("xml", XML_PAGE, {"ignoreSurroundingSpaces": "false"}).alias("page"))
     return page.select("page.id", "page.title", "page.ns", F.get("page.revision", F.lit(0))["text"]["_VALUE"].alias("text"))
 
 
@@ -21,5 +21,5 @@ def read_pages(spark: SparkSession, path: str, index: str | None = None, compres
 
 def read_pages_builtin(spark: SparkSession, path: str) -> DataFrame:
     """The same with Spark's own XML source, for any Hadoop file system."""
-    rows = spark.read.format("xml").option("rowTag", "page").schema(XML_PAGE).load(path)
+    rows = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(XML_PAGE).load(path)
     return rows.select("id", "title", "ns", F.get("revision", F.lit(0))["text"]["_VALUE"].alias("text"))

@@ -22,7 +22,7 @@ def stream_nodes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_pages(spark: SparkSession, folder: str) -> DataFrame:
-    rows = spark.readStream.format("xml").option("rowTag", "page").schema(XML_PAGE).load(folder)
+    rows = spark.readStream.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(XML_PAGE).load(folder)
     return rows.select("id", "title", "ns", F.get("revision", F.lit(0))["text"]["_VALUE"].alias("text"))
 
 
