@@ -7,6 +7,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def entrance_class(tags: Column) -> Column:
@@ -53,11 +54,11 @@ def unpack_ids(data: bytes) -> list[int]:
     return list(struct.unpack(f">{len(data) // 8}q", data))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed_point(lat: pd.Series, lon: pd.Series, entrance: pd.Series, wheelchair: pd.Series) -> pd.Series:
     return pd.Series([pack_point(*row) for row in zip(lat, lon, entrance, wheelchair)])
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def packed_ids(ids: pd.Series) -> pd.Series:
     return ids.map(lambda x: None if x is None else pack_ids([int(i) for i in x]))

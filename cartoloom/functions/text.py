@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def tokens(text: Column) -> Column:
@@ -22,7 +23,7 @@ def number_or_zero(text: Column) -> Column:
     return F.coalesce(text.try_cast("double"), F.lit(0.0))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def seven_decimals(value: pd.Series) -> pd.Series:
     """The number to seven places, rounded from its exact binary value (the built-in formatter rounds its decimal one)."""
     return value.map(lambda x: None if pd.isna(x) else f"{x:.7f}")
