@@ -15,35 +15,49 @@ _SKIP = r"(?is)<!--.*?-->|<nowiki>.*?</nowiki>|<nowiki\s*/>"
 _TEMPLATE = r"(?is)\{\{\s*coord\s*\|([^{}]*)\}\}"
 
 
+def _let(value: Column, body) -> Column:
+    """body of the value, which is computed once and stands once in the plan."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def arguments(text: Column) -> Column:
     """The unnamed arguments of the first template, in order; null if there is none."""
-    clean = F.regexp_replace(text, _SKIP, "")
-    body = F.regexp_extract(clean, _TEMPLATE, 1)
-    parts = F.filter(F.transform(F.split(body, r"\|"), lambda a: F.trim(a)), lambda a: ~a.rlike("[=:]") & (a != ""))
-    return F.when(F.regexp_like(clean, F.lit(_TEMPLATE)), parts)
+
+    def read(clean: Column) -> Column:
+        parts = F.filter(F.transform(F.split(F.regexp_extract(clean, _TEMPLATE, 1), r"\|"), lambda a: F.trim(a)), lambda a: ~a.rlike("[=:]") & (a != ""))
+        return F.when(F.regexp_like(clean, F.lit(_TEMPLATE)), parts)
+
+    return _let(F.regexp_replace(text, _SKIP, ""), read)
 
 
 def _angle(parts: Column, sign: Column) -> Column:
     """Degrees of one to three numbers; null if one of them isn't one or is negative after the first."""
-    value = lambda k: F.when(F.size(parts) > k, F.get(parts, F.lit(k)).try_cast("double")).otherwise(F.lit(0.0))
-    degrees, minutes, seconds = value(0), value(1), value(2)
-    whole = degrees + minutes / 60 + seconds / 3600
-    return F.when(F.size(parts).between(1, 3) & (degrees >= 0) & minutes.between(0, 60) & seconds.between(0, 60), whole * sign)
+    number = F.transform(parts, lambda p: p.try_cast("double"))
+    value = lambda n, k: F.when(F.size(n) > k, F.get(n, F.lit(k))).otherwise(F.lit(0.0))
+    sound = lambda n: F.size(n).between(1, 3) & (value(n, 0) >= 0) & value(n, 1).between(0, 60) & value(n, 2).between(0, 60)
+    return _let(number, lambda n: F.when(sound(n), value(n, 0) + value(n, 1) / 60 + value(n, 2) / 3600)) * sign
 
 
 def parse(text: Column) -> Column:
     """struct<lat, lon, error>: all null if there is no template; error says why one could not be read."""
-    args = F.transform(arguments(text), lambda a: F.upper(a))
-    ns = F.coalesce(F.least(*(F.nullif(F.array_position(args, h), F.lit(0)) for h in "NS")), F.lit(0)).cast("int")
-    ew = F.coalesce(F.least(*(F.nullif(F.array_position(args, h), F.lit(0)) for h in "EW")), F.lit(0)).cast("int")
-    hemispheres = (ns > 1) & (ew > ns + 1)
-    empty = F.array().cast("array<string>")
-    lat_parts = F.when(hemispheres, F.slice(args, F.lit(1), F.greatest(ns - 1, F.lit(0)))).otherwise(empty)
-    lon_parts = F.when(hemispheres, F.slice(args, F.greatest(ns + 1, F.lit(1)), F.greatest(ew - ns - 1, F.lit(0)))).otherwise(empty)
-    sign = lambda at, minus: F.when(F.get(args, at - 1) == minus, -1.0).otherwise(1.0)
-    lat = F.when(hemispheres, _angle(lat_parts, sign(ns, "S"))).when((ns == 0) & (ew == 0), F.get(args, F.lit(0)).try_cast("double"))
-    lon = F.when(hemispheres, _angle(lon_parts, sign(ew, "W"))).when((ns == 0) & (ew == 0), F.get(args, F.lit(1)).try_cast("double"))
-    ok = lat.between(-90, 90) & lon.between(-180, 180)
-    error = F.when(args.isNotNull() & ~F.coalesce(ok, F.lit(False)), F.concat(F.lit("bad coordinate: "), F.array_join(args, "|")))
-    good = F.coalesce(ok, F.lit(False))
-    return F.struct(F.when(good, lat).alias("lat"), F.when(good, lon).alias("lon"), error.alias("error"))
+
+    def place(args: Column, *hemispheres: str) -> Column:
+        return F.coalesce(F.least(*(F.nullif(F.array_position(args, h), F.lit(0)) for h in hemispheres)), F.lit(0)).cast("int").alias(hemispheres[0])
+
+    def angles(x: Column) -> Column:
+        args, ns, ew = x["args"], x["N"], x["E"]
+        sign = lambda at, minus: F.when(F.get(args, at - 1) == minus, -1.0).otherwise(1.0)
+        part = lambda start, end: F.slice(args, F.greatest(start, F.lit(1)), F.greatest(end - start, F.lit(0)))
+        lettered, plain = (ns > 1) & (ew > ns + 1), (ns == 0) & (ew == 0)
+        lat = F.when(lettered, _angle(part(F.lit(1), ns), sign(ns, "S"))).when(plain, F.get(args, F.lit(0)).try_cast("double"))
+        lon = F.when(lettered, _angle(part(ns + 1, ew), sign(ew, "W"))).when(plain, F.get(args, F.lit(1)).try_cast("double"))
+        return F.struct(args.alias("args"), lat.alias("lat"), lon.alias("lon"))
+
+    def checked(x: Column) -> Column:
+        good = F.coalesce(x["lat"].between(-90, 90) & x["lon"].between(-180, 180), F.lit(False))
+        error = F.when(x["args"].isNotNull() & ~good, F.concat(F.lit("bad coordinate: "), F.array_join(x["args"], "|")))
+        return F.struct(F.when(good, x["lat"]).alias("lat"), F.when(good, x["lon"]).alias("lon"), error.alias("error"))
+
+    upper = F.transform(arguments(text), lambda a: F.upper(a))
+    places = _let(upper, lambda args: F.struct(args.alias("args"), place(args, "N", "S"), place(args, "E", "W")))
+    return _let(_let(places, angles), checked)
