@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Duplicate tag keys: the last one wins. Time zones never matter but for the stand-in queries.
-SETTINGS = {"spark.sql.mapKeyDedupPolicy": "LAST_WIN", "spark.sql.session.timeZone": "UTC"}
+#: Duplicate tag keys: the last one wins. Time zones never matter but for the stand-in queries. Filters on the kind of
+#: entity reach the binary source only if Python sources may take filters over.
+SETTINGS = {"spark.sql.mapKeyDedupPolicy": "LAST_WIN", "spark.sql.session.timeZone": "UTC", "spark.sql.python.filterPushdown.enabled": "true"}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
