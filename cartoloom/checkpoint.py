@@ -5,13 +5,22 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, or where it is unset on a single machine, as in tests, one of our own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + os.path.join(tempfile.gettempdir(), "cartoloom-checkpoints")
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, materialised in the shared folder of spark.checkpoint.dir (one of our own where that is unset, as in tests)."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "cartoloom-checkpoints")
-        spark.sparkContext.setCheckpointDir(folder)
+    """df, materialised in the shared folder, so that lost executors cost no recomputation."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
