@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cartoloom.checkpoint import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + os.path.join(tempfile.gettempdir(), "cartoloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage, so that lost executors cost no recomputation."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "shared_dir", "stored", "table"]
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut, for wide or large rows: columnar and compressed, with column pruning for the readers."""
+    """Like cut, for wide or large rows: columnar and compressed in the shared folder, with column pruning for the readers."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
