@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +53,7 @@ def counted(row: np.ndarray, index: np.ndarray, rows: int, size: int) -> Sparse:
     return Sparse(key % size, n.astype(np.float64), np.searchsorted(key, np.arange(rows + 1) * size))
 
 
-def labelled(spark: SparkSession, sf_dir: str, label: str, most: int, seed: int = 7, columns: tuple[str, ...] = ()) -> pa.Table:
+def sample(spark: SparkSession, sf_dir: str, label: str, most: int, seed: int = 7, columns: tuple[str, ...] = ()) -> DataFrame:
     """At most `most` documents with a label, chosen by a seeded hash of doc_id: doc_id, label, text and columns.
 
     A doc_id with several labels has the largest; null labels and ids don't count. This is the one place where a bound
@@ -58,7 +61,24 @@ def labelled(spark: SparkSession, sf_dir: str, label: str, most: int, seed: int
     """
     chosen = table(spark, sf_dir, "labels").where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", *columns).dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", *columns).dropDuplicates(["doc_id"])
+
+
+def labelled(*args, **named) -> pa.Table:
+    """The sample's rows on the driver, in order of doc_id."""
+    return sample(*args, **named).orderBy("doc_id").toArrow()
+
+
+def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
+    """What fit gives for the rows in order of doc_id; it runs in one task, so that the driver needs no room for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(parts)))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else fit(rows.limit(0).toArrow())
 
 
 def adam(grad, weights: list[np.ndarray], steps: int, rate: float) -> list[np.ndarray]:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartoloom.llm import _text as T
 from cartoloom.llm import crf
-from cartoloom.llm._features import labelled
+from cartoloom.llm._features import fitted, sample
 from cartoloom.llm._spark import table
 from cartoloom.llm.simhash import fingerprint_batch
 
@@ -106,7 +106,12 @@ class Model:
 
 def no_copies(texts: pa.Array) -> np.ndarray:
     """The rows of the (bounded) sample that are no near copy of an earlier one: families of copies would look like evidence."""
-    rows, fp = fingerprint_batch(texts)
+    parts, base = [(np.zeros(0, np.int64), np.zeros((0, 2), T.U))], 0
+    for piece in T.pieces(pa.RecordBatch.from_arrays([texts], ["text"])):  # the bits of all words at once would be large
+        at, bits = fingerprint_batch(piece.column(0))
+        parts.append((at + base, bits))
+        base += piece.num_rows
+    rows, fp = (np.concatenate(x) for x in zip(*parts))
     keep: list[int] = []
     for i in range(len(rows)):
         if not keep or int(np.bitwise_count(fp[keep] ^ fp[i]).sum(1).min()) > COPY_BITS:
@@ -139,8 +144,10 @@ def telling(u: np.ndarray, context: np.ndarray, doc: np.ndarray, y: np.ndarray)
 def labelled_tokens(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(units, row, toxic) of all tokens of the labelled documents."""
     parts, contexts, docs = [np.zeros((0, 1 + len(PREFIXES)), T.U)], [np.zeros(0, T.U)], [np.zeros(0, np.int64)]
-    for lo in range(0, len(texts), 256):
-        w = T.words(texts.slice(lo, 256))
+    lo = 0
+    for piece in T.pieces(pa.RecordBatch.from_arrays([texts], ["text"])):
+        w = T.words(piece.column(0))
+        first, lo = lo, lo + piece.num_rows
         if len(w.hash) == 0:
             continue
         before = np.r_[T.U(0), w.hash[:-1]]
@@ -149,7 +156,7 @@ def labelled_tokens(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndar
         after[w.offsets[1:][np.diff(w.offsets) > 0] - 1] = T.U(2)
         parts.append(units(w))
         contexts.append(T.mix(before * T.U(5) + after))
-        docs.append(lo + w.row)
+        docs.append(first + w.row)
     u, c, d = np.concatenate(parts), np.concatenate(contexts), np.concatenate(docs)
     tags = np.zeros(len(d), bool)
     for kind in range(u.shape[1]):
@@ -186,8 +193,7 @@ def fit(texts: pa.Array, y: np.ndarray, windows: int = 1500, seed: int = 5) -> M
 
 
 def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Model:
-    sample = labelled(spark, sf_dir, "toxic", rows)
-    return fit(sample.column("text"), sample.column("label").to_numpy())
+    return fitted(sample(spark, sf_dir, "toxic", rows), lambda t: fit(t.column("text"), t.column("label").to_numpy()))
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
