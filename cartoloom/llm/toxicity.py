@@ -9,7 +9,7 @@ beginnings (for inflected words), each by two independent hashes, so that a clea
 collide; its transitions carry the spans.
 
 Every token of every text then gets its marginal probability of being toxic from an exact forward-backward pass, run over
-all texts of a batch at once, token by token, on the odds. A document's score is its largest marginal; expected is the sum
+all texts of a batch at once, on the odds, in blocks of BLOCK tokens. A document's score is its largest marginal; expected is the sum
 of the marginals; spans are the character offsets of maximal runs of tokens whose marginal is at least SPAN. A document is
 toxic if its score is at least TOXIC.
 
@@ -42,6 +42,8 @@ SIZE = 1 << BITS
 PREFIXES = (4, 5, 6)
 FEATURES = 2 * SIZE * (1 + len(PREFIXES))
 WINDOW = 8
+#: Tokens that the forward-backward recursion takes one after another.
+BLOCK = 256
 
 
 def units(w: T.Words) -> np.ndarray:
@@ -73,33 +75,73 @@ class Model:
     first: np.ndarray
 
     def marginals(self, w: T.Words) -> np.ndarray:
-        """The probability of toxic of each token: forward and backward odds, all rows in step."""
+        """The probability of toxic of each token, by exact forward and backward odds.
+
+        Rows are cut into blocks of BLOCK tokens that all go in step. What a block does to the odds is a 2 x 2 matrix, so
+        the odds at the borders of a long row's blocks follow from one matrix each, however long it is.
+        """
         n = len(w.hash)
         if n == 0 or not self.weight.any():
             return np.zeros(n)
         gain = np.exp(np.clip(self.weight[_feature(units(w))].sum(1), -30, 30))
-        sizes = np.diff(w.offsets)
-        order = np.argsort(-sizes, kind="stable")
-        sizes, begin = sizes[order], w.offsets[:-1][order]
-        active = np.searchsorted(-sizes, -np.arange(int(sizes[0]) + 1), "left")  # rows longer than t
         (oo, ot), (to, tt) = np.exp(self.step)
+        sizes = np.diff(w.offsets)
+        blocks = -(-sizes // BLOCK)
+        head = np.cumsum(blocks) - blocks  # the first block of each row
+        row = np.repeat(np.arange(len(sizes)), blocks)
+        nth = np.arange(len(row)) - head[row]
+        length = np.minimum(BLOCK, sizes[row] - nth * BLOCK)
+        order = np.argsort(-length, kind="stable")
+        enter, leave = np.full(len(row), np.exp(self.first[1] - self.first[0])), np.ones(len(row))
+
+        def lanes(of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The first token of each block, whether it begins a row, and how many blocks are longer than t."""
+            size = length[of]
+            return w.offsets[:-1][row[of]] + nth[of] * BLOCK, nth[of] == 0, np.searchsorted(-size, -np.arange(int(size[0]) + 1), "left")
+
+        several = order[blocks[row[order]] > 1]
+        if len(several):
+            begin, first, active = lanes(several)
+            m = np.zeros((2, 2, len(several)))
+            m[0, 0] = m[1, 1] = 1
+            for t in range(len(active) - 1):
+                k = active[t]
+                a, b, g = m[:, 0, :k], m[:, 1, :k], gain[begin[:k] + t]
+                o, x = a * oo + b * to, a * ot + b * tt
+                if t == 0:
+                    o, x = np.where(first[:k], a, o), np.where(first[:k], b, x)
+                m[:, 0, :k], m[:, 1, :k] = o, x * g
+                if t % 8 == 7:
+                    m[:, :, :k] /= m[:, :, :k].max((0, 1))
+            whole = np.zeros((2, 2, len(row)))
+            whole[:, :, several] = m
+            for k in range(1, int(blocks.max())):
+                at = head[blocks > k] + k
+                (a, b), (c, d) = whole[:, :, at - 1]
+                enter[at] = np.clip((b + d * enter[at - 1]) / (a + c * enter[at - 1]), 1e-30, 1e30)
+            for k in range(int(blocks.max()) - 1, 0, -1):
+                at = head[blocks > k] + k
+                (a, b), (c, d) = whole[:, :, at]
+                leave[at - 1] = np.clip((c + d * leave[at]) / (a + b * leave[at]), 1e-30, 1e30)
+
+        begin, first, active = lanes(order)
         forward, after = np.empty(n), np.empty(n)
-        odds = np.full(active[0], np.exp(self.first[1] - self.first[0]))
-        for t in range(int(sizes[0])):
-            m = active[t]
-            at = begin[:m] + t
-            odds = odds[:m] * gain[at] if t == 0 else (ot + tt * odds[:m]) / (oo + to * odds[:m]) * gain[at]
-            np.clip(odds, 1e-30, 1e30, out=odds)
+        odds = enter[order]
+        for t in range(len(active) - 1):
+            odds = odds[: active[t]]
+            at = begin[: active[t]] + t
+            moved = (ot + tt * odds) / (oo + to * odds)
+            if t == 0:
+                moved = np.where(first, odds, moved)
+            odds = np.clip(moved * gain[at], 1e-30, 1e30)
             forward[at] = odds
-        back = np.ones(0)
-        for t in range(int(sizes[0]) - 1, -1, -1):
-            m = active[t]
-            now = np.ones(m)
-            if len(back):  # rows that go on: what is to come, for each label at t
-                x = back * gain[begin[: len(back)] + t + 1]
-                now[: len(back)] = (to + tt * x) / (oo + ot * x)
+        back, ends = np.ones(0), leave[order]
+        for t in range(len(active) - 2, -1, -1):
+            now = ends[: active[t]].copy()
+            x = back * gain[begin[: len(back)] + t + 1]
+            now[: len(back)] = (to + tt * x) / (oo + ot * x)
             back = np.clip(now, 1e-30, 1e30)
-            after[begin[:m] + t] = back
+            after[begin[: active[t]] + t] = back
         o = forward * after
         return o / (1 + o)
 
@@ -225,8 +267,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # larger pieces than elsewhere: the recursion's steps are shared by all rows of one
-            for piece in T.pieces(batch, "text", 1 << 22):
+            # larger pieces than elsewhere: the recursion's steps are shared by all blocks of one
+            for piece in T.pieces(batch, "text", 1 << 21):
                 p, expected, spans = tagged(piece.column(1), shared.value)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(p), pa.array(expected), pa.array(p >= TOXIC), pa.array(spans, SPANS)], ["doc_id", "score", "expected", "toxic", "spans"])
 

@@ -64,13 +64,13 @@ def test_field_inference_is_exact():
 
 
 def test_toxicity_marginals_are_the_fields():
-    w = T.words(pa.array(["a b c d e", "", "b", "c c a"]))
+    w = T.words(pa.array(["a b c d e", "", "b", "c c a", " ".join(f"w{k % 17}" for k in range(3 * toxicity.BLOCK + 5)), "x y " * (toxicity.BLOCK // 2)]))
     r = np.random.default_rng(2)
     weight = np.zeros(toxicity.FEATURES + 1)
     weight[: toxicity.FEATURES] = r.normal(0, 0.5, toxicity.FEATURES)
     model = toxicity.Model(weight, r.normal(0, 1, (2, 2)), r.normal(0, 1, 2))
     got = model.marginals(w)
-    for i in (0, 2, 3):
+    for i in (0, 2, 3, 4, 5):
         a, b = w.offsets[i], w.offsets[i + 1]
         gain = weight[toxicity._feature(toxicity.units(w))].sum(1)[a:b]
         score = np.stack([np.zeros(b - a), gain], 1)[None]
@@ -105,7 +105,7 @@ def test_toxic_offsets_are_characters():
     w = T.words(pa.array(["badword"]))
     weight[toxicity._feature(toxicity.units(w))[0]] = 3
     weight[toxicity.FEATURES] = 0
-    score, _, spans = toxicity.tagged(pa.array(texts), toxicity.Model(weight, np.zeros((2, 2)), np.array([0.0, -4.0])))
+    score, _, spans = toxicity.tagged(pa.array(texts), toxicity.Model(weight, np.array([[0.0, -4.0], [0.0, -4.0]]), np.array([0.0, -4.0])))
     assert [texts[0][s["start"] : s["end"]] for s in spans[0]] == ["badword"] and spans[1] == [] and score[0] > 0.9
 
 
