@@ -11,15 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartoloom.functions.binding import let
+
 _SKIP = r"(?is)<!--.*?-->|<nowiki>.*?</nowiki>|<nowiki\s*/>"
 _TEMPLATE = r"(?is)\{\{\s*coord\s*\|([^{}]*)\}\}"
 
 
-def _let(value: Column, body) -> Column:
-    """body of the value, which is computed once and stands once in the plan."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def arguments(text: Column) -> Column:
     """The unnamed arguments of the first template, in order; null if there is none."""
 
@@ -27,7 +24,7 @@ def arguments(text: Column) -> Column:
         parts = F.filter(F.transform(F.split(F.regexp_extract(clean, _TEMPLATE, 1), r"\|"), lambda a: F.trim(a)), lambda a: ~a.rlike("[=:]") & (a != ""))
         return F.when(F.regexp_like(clean, F.lit(_TEMPLATE)), parts)
 
-    return _let(F.regexp_replace(text, _SKIP, ""), read)
+    return let(F.regexp_replace(text, _SKIP, ""), read)
 
 
 def _angle(parts: Column, sign: Column) -> Column:
@@ -35,7 +32,7 @@ def _angle(parts: Column, sign: Column) -> Column:
     number = F.transform(parts, lambda p: p.try_cast("double"))
     value = lambda n, k: F.when(F.size(n) > k, F.get(n, F.lit(k))).otherwise(F.lit(0.0))
     sound = lambda n: F.size(n).between(1, 3) & (value(n, 0) >= 0) & value(n, 1).between(0, 60) & value(n, 2).between(0, 60)
-    return _let(number, lambda n: F.when(sound(n), value(n, 0) + value(n, 1) / 60 + value(n, 2) / 3600)) * sign
+    return let(number, lambda n: F.when(sound(n), value(n, 0) + value(n, 1) / 60 + value(n, 2) / 3600)) * sign
 
 
 def parse(text: Column) -> Column:
@@ -59,5 +56,5 @@ def parse(text: Column) -> Column:
         return F.struct(F.when(good, x["lat"]).alias("lat"), F.when(good, x["lon"]).alias("lon"), error.alias("error"))
 
     upper = F.transform(arguments(text), lambda a: F.upper(a))
-    places = _let(upper, lambda args: F.struct(args.alias("args"), place(args, "N", "S"), place(args, "E", "W")))
-    return _let(_let(places, angles), checked)
+    places = let(upper, lambda args: F.struct(args.alias("args"), place(args, "N", "S"), place(args, "E", "W")))
+    return let(let(places, angles), checked)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from cartoloom.functions.binding import let
+
 EARTH_M = 6_378_137.0
 LEAST_SIDE = 1e-6
 #: Degrees by which a vertex must turn to count for a polygon's centroid.
@@ -28,12 +30,18 @@ def bounds(points: Column) -> Column:
 def spherical_mean(points: Column) -> Column:
     """The direction of the mean of the unit vectors: struct<lat, lon>."""
 
-    def total(part) -> Column:
-        return F.aggregate(points, F.lit(0.0), lambda acc, p: acc + part(F.radians(p["lat"]), F.radians(p["lon"])))
+    def vector(p: Column) -> Column:
+        lat, lon = F.radians(p["lat"]), F.radians(p["lon"])
+        return F.struct((F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z"))
 
-    n = F.size(points)
-    x, y, z = total(lambda a, o: F.cos(a) * F.cos(o)) / n, total(lambda a, o: F.cos(a) * F.sin(o)) / n, total(lambda a, o: F.sin(a)) / n
-    return F.struct(F.degrees(F.atan2(z, F.hypot(x, y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
+    def mean(vectors: Column) -> Column:
+        total = lambda c: F.aggregate(vectors, F.lit(0.0), lambda acc, v: acc + v[c]) / F.size(vectors)
+        return F.struct(*(total(c).alias(c) for c in "xyz"))
+
+    def direction(m: Column) -> Column:
+        return F.struct(F.degrees(F.atan2(m["z"], F.hypot(m["x"], m["y"]))).alias("lat"), F.degrees(F.atan2(m["y"], m["x"])).alias("lon"))
+
+    return let(let(F.transform(points, vector), mean), direction)
 
 
 def bearing(a: Column, b: Column) -> Column:
@@ -67,30 +75,37 @@ def _segments(points: Column) -> Column:
 
 def line_centroid(points: Column) -> Column:
     """The point halfway along the line; for a line without length the spherical mean."""
-    half = length(points) / 2
-    # (travelled, index) of the first segment that goes beyond half of the way
+    # (travelled, index, step) of the first segment that goes beyond half of the way
     start = F.struct(F.lit(0.0).alias("travelled"), F.lit(-1).alias("index"), F.lit(0).alias("next"), F.lit(0.0).alias("step"))
 
-    def walk(state: Column, d: Column) -> Column:
-        found = state["index"] >= 0
-        hit = ~found & (state["travelled"] + d > half)
-        return F.struct(
-            F.when(found | hit, state["travelled"]).otherwise(state["travelled"] + d).alias("travelled"),
-            F.when(hit, state["next"]).otherwise(state["index"]).alias("index"),
-            (state["next"] + 1).alias("next"),
-            F.when(hit, d).otherwise(state["step"]).alias("step"),
-        )
+    def walked(segments: Column) -> Column:
+        def walk(half: Column) -> Column:
+            def step(state: Column, d: Column) -> Column:
+                found = state["index"] >= 0
+                hit = ~found & (state["travelled"] + d > half)
+                return F.struct(
+                    F.when(found | hit, state["travelled"]).otherwise(state["travelled"] + d).alias("travelled"),
+                    F.when(hit, state["next"]).otherwise(state["index"]).alias("index"),
+                    (state["next"] + 1).alias("next"),
+                    F.when(hit, d).otherwise(state["step"]).alias("step"),
+                )
+
+            return F.struct(half.alias("half"), F.aggregate(segments, start, step).alias("at"))
 
-    found = F.aggregate(_segments(points), start, walk)
-    a, b = F.element_at(points, F.greatest(found["index"], F.lit(0)) + 1), F.try_element_at(points, F.greatest(found["index"], F.lit(0)) + 2)
-    share = (half - found["travelled"]) / F.nullif(found["step"], F.lit(0.0))
-    middle = F.struct((a["lat"] + share * (b["lat"] - a["lat"])).alias("lat"), (a["lon"] + share * (b["lon"] - a["lon"])).alias("lon"))
-    return F.when(found["index"] >= 0, middle).otherwise(spherical_mean(points))
+        return let(F.aggregate(segments, F.lit(0.0), lambda acc, d: acc + d) / 2, walk)
+
+    def middle(found: Column) -> Column:
+        at = found["at"]
+        a, b = F.get(points, at["index"]), F.get(points, at["index"] + 1)
+        share = (found["half"] - at["travelled"]) / F.nullif(at["step"], F.lit(0.0))
+        between = let(share, lambda s: F.struct((a["lat"] + s * (b["lat"] - a["lat"])).alias("lat"), (a["lon"] + s * (b["lon"] - a["lon"])).alias("lon")))
+        return F.when(at["index"] >= 0, between).otherwise(spherical_mean(points))
+
+    return let(let(_segments(points), walked), middle)
 
 
 def polygon_centroid(points: Column) -> Column:
-    kept = simplified(points)
-    return F.when(F.size(kept) > 0, spherical_mean(kept)).otherwise(spherical_mean(points))
+    return let(simplified(points), lambda kept: spherical_mean(F.when(F.size(kept) > 0, kept).otherwise(points)))
 
 
 def is_closed(points: Column) -> Column:
@@ -101,17 +116,20 @@ def is_closed(points: Column) -> Column:
 
 def entrance(points: Column) -> Column:
     """The main entrance, else the first accessible one, else the first; null without one."""
-    doors = F.filter(points, lambda p: p["entrance"] > 0)
-    pick = lambda cond: F.get(F.filter(doors, cond), F.lit(0))
-    return F.coalesce(pick(lambda p: p["entrance"] == 2), pick(lambda p: p["wheelchair"] != 0), F.get(doors, F.lit(0)))
+
+    def best(doors: Column) -> Column:
+        pick = lambda cond: F.get(F.filter(doors, cond), F.lit(0))
+        return F.coalesce(pick(lambda p: p["entrance"] == 2), pick(lambda p: p["wheelchair"] != 0), F.get(doors, F.lit(0)))
+
+    return let(F.filter(points, lambda p: p["entrance"] > 0), best)
 
 
 def centroid(points: Column) -> Column:
     """struct<lat, lon, type>: an entrance if there is one (type `entrance`), else of the polygon or the line."""
-    door = entrance(points)
+    typed = lambda p, kind: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), kind.alias("type"))
     middle = F.when(is_closed(points), polygon_centroid(points)).otherwise(line_centroid(points))
-    at = F.when(door.isNotNull(), F.struct(door["lat"].alias("lat"), door["lon"].alias("lon"), F.lit("entrance").alias("type")))
-    return F.when(F.size(points) > 0, F.coalesce(at, F.struct(middle["lat"].alias("lat"), middle["lon"].alias("lon"), F.lit(None).cast("string").alias("type"))))
+    place = let(entrance(points), lambda door: F.when(door.isNotNull(), typed(door, F.lit("entrance"))).otherwise(let(middle, lambda m: typed(m, F.lit(None).cast("string")))))
+    return F.when(F.size(points) > 0, place)
 
 
 def area(box: Column) -> Column:

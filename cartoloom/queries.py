@@ -226,8 +226,8 @@ def simplified_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.size(geo.simplified(F.col("points"))).cast("long").alias("kept"))
 
 
-@query(_WITH + _RING + """, some AS (SELECT way, lat, lon, kept OR NOT bool_or(kept) OVER (PARTITION BY way) AS kept FROM bent),
-means AS (SELECT way, avg(cos(radians(lat)) * cos(radians(lon))) AS x, avg(cos(radians(lat)) * sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM some WHERE kept GROUP BY way)
+@query(_WITH + _RING + """, used AS (SELECT way, lat, lon, kept OR NOT bool_or(kept) OVER (PARTITION BY way) AS kept FROM bent),
+means AS (SELECT way, avg(cos(radians(lat)) * cos(radians(lon))) AS x, avg(cos(radians(lat)) * sin(radians(lon))) AS y, avg(sin(radians(lat))) AS z FROM used WHERE kept GROUP BY way)
 SELECT way AS id, round(degrees(atan2(z, sqrt(x * x + y * y))), 5) AS lat, round(degrees(atan2(y, x)), 5) AS lon FROM means""")
 def polygon_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = denormalise.way_points(ways(spark, sf_dir), denormalise.located(nodes(spark, sf_dir)))
