@@ -35,37 +35,36 @@ from cartoloom.llm._spark import cut, table
 
 ALPHA, LEAST = 0.4, 2
 SPREAD = 8
-#: Bytes of text for each partition of the rows.
-PARTITION_BYTES = 16 << 20
+#: Bytes of text for each partition of the rows, and for each set of binaries that a task sends.
+PARTITION_BYTES, PIECE_BYTES = 8 << 20, 16 << 20
 BITS = 40
 MASK = T.U((1 << BITS) - 1)
 BEGIN, END = T.U(1), T.U(2)
 
 
-def _positions(w: T.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each word: the two before it, itself, the one after, and its row; 40-bit hashes with marks at the borders."""
-    h = w.hash & MASK
+def _around(h: np.ndarray, row: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: the second before it, the one before it, and the one after; begin and end stand beyond the row."""
     n = len(h)
-    before, second, after = np.full(n, BEGIN), np.full(n, BEGIN), np.full(n, END)
+    second, before, after = (np.full(n, x, h.dtype) for x in (begin, begin, end))
     if n:
-        same = w.row[1:] == w.row[:-1]
-        before[1:] = np.where(same, h[:-1], BEGIN)
-        after[:-1] = np.where(same, h[1:], END)
+        same = row[1:] == row[:-1]
+        before[1:] = np.where(same, h[:-1], before[1:])
+        after[:-1] = np.where(same, h[1:], after[:-1])
     if n > 1:
-        second[2:] = np.where(w.row[2:] == w.row[:-2], h[:-2], BEGIN)
-    return second, before, h, after, w.row
+        second[2:] = np.where(row[2:] == row[:-2], h[:-2], second[2:])
+    return second, before, after
 
 
-def pack_columns(columns: list[np.ndarray], squeeze: zstandard.ZstdCompressor) -> bytes:
-    """Columns of 40-bit numbers: the distinct ones, the commonest first, and two bytes (or four) for each number."""
+def pack_columns(columns: list[np.ndarray], numbers: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Columns of indexes of 40-bit numbers: the distinct ones, the commonest first, and two bytes (or four) for each index."""
     distinct, back, n = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
     order = np.argsort(-n, kind="stable")
     rank = np.empty(len(distinct), np.int64)
     rank[order] = np.arange(len(distinct))
     width = 2 if len(distinct) <= 1 << 16 else 4
     planes = rank[back].astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    numbers = distinct[order].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
-    return np.array([len(distinct), width], "<u4").tobytes() + numbers + squeeze.compress(planes)
+    listed = numbers[distinct[order]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
+    return np.array([len(distinct), width], "<u4").tobytes() + listed + squeeze.compress(planes)
 
 
 def unpack_columns(data: bytes, columns: int) -> list[np.ndarray]:
@@ -85,7 +84,8 @@ def common_words(docs: DataFrame, partitions: int) -> pa.Table:
         ids, counts = np.zeros(0, T.U), np.zeros(0, np.int64)
         for batch in batches:
             for piece in T.pieces(batch, "text", 1 << 20):
-                v, n = np.unique(_positions(T.words(piece.column(0)))[1], return_counts=True)
+                w = T.words(piece.column(0))
+                v, n = np.unique(_around(w.hash & MASK, w.row, BEGIN, END)[1], return_counts=True)
                 ids, back = np.unique(np.concatenate([ids, v]), return_inverse=True)
                 counts = np.bincount(back, np.concatenate([counts, n]), len(ids)).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(counts)], ["v", "n"])
@@ -102,17 +102,20 @@ def _rows(docs: DataFrame, partitions: int, common: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for piece in T.pieces(batch, "text", PARTITION_BYTES):
-                found, base = [], 0
+            for piece in T.pieces(batch, "text", PIECE_BYTES):
+                hashes, rows_, base = [], [], 0
                 for small in T.pieces(piece, "text", 1 << 19):
-                    *four, row = _positions(T.words(small.column(1)))
-                    found.append([*four, row + base])
+                    words = T.words(small.column(1))
+                    hashes.append(words.hash & MASK)
+                    rows_.append((words.row + base).astype(np.int32))
                     base += small.num_rows
-                s, v, w, a, row = (np.concatenate(c) for c in zip(*found))
-                key = T.mix(v)
-                often = np.isin(v, common)
-                key[often] = T.mix(v[often] * T.U(3) + w[often])
-                part = (key % T.U(partitions)).astype(np.int64)
+                numbers, w = np.unique(np.concatenate(hashes), return_inverse=True)
+                w, row = w.astype(np.int32), np.concatenate(rows_)
+                numbers = np.append(numbers, [BEGIN, END])  # the piece's words by index, then the marks
+                s, v, a = _around(w, row, len(numbers) - 2, len(numbers) - 1)
+                part = (T.mix(numbers) % T.U(partitions)).astype(np.int32)[v]
+                often = np.flatnonzero(np.isin(numbers, common)[v])
+                part[often] = T.mix(numbers[v[often]] * T.U(3) + numbers[w[often]]) % T.U(partitions)
                 order = np.argsort(part, kind="stable")
                 bounds = np.searchsorted(part[order], np.arange(partitions + 1))
                 ids = piece.column(0).to_numpy(zero_copy_only=False)
@@ -122,7 +125,7 @@ def _rows(docs: DataFrame, partitions: int, common: np.ndarray) -> DataFrame:
                     if len(own):
                         at, n = np.unique(row[own], return_counts=True)
                         parts.append(p)
-                        rows.append(pack_columns([x[own] for x in (s, v, w, a)], squeeze))
+                        rows.append(pack_columns([x[own] for x in (s, v, w, a)], numbers, squeeze))
                         owners.append(ids[at].tolist())
                         sizes.append(n.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.binary()), pa.array(owners, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["part", "rows", "ids", "sizes"])
