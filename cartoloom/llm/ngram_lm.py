@@ -21,6 +21,7 @@ and words add up. An empty table gives no rows. Other columns are never looked a
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -67,6 +68,18 @@ def pack_columns(columns: list[np.ndarray], numbers: np.ndarray, squeeze: zstand
     return np.array([len(distinct), width], "<u4").tobytes() + listed + squeeze.compress(planes)
 
 
+def pack_owners(ids: np.ndarray, sizes: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Differences of the ids and the sizes, by bytes of like place."""
+    planes = [x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(ids, prepend=0), sizes)]
+    return squeeze.compress(b"".join(planes))
+
+
+def unpack_owners(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, 8, -1)
+    steps, sizes = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes)
+    return np.cumsum(steps), sizes
+
+
 def unpack_columns(data: bytes, columns: int) -> list[np.ndarray]:
     distinct, width = np.frombuffer(data[:8], "<u4").tolist()
     numbers = np.zeros((distinct, 8), np.uint8)
@@ -97,7 +110,7 @@ def common_words(docs: DataFrame, partitions: int) -> pa.Table:
 
 
 def _rows(docs: DataFrame, partitions: int, common: np.ndarray) -> DataFrame:
-    """(part, rows, docs): binaries of positions, by partition. docs: the doc_ids and how many of the positions each has."""
+    """(part, rows, owners): binaries of positions, by partition, and of the doc_ids and how many of the positions each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
@@ -111,6 +124,7 @@ def _rows(docs: DataFrame, partitions: int, common: np.ndarray) -> DataFrame:
                     base += small.num_rows
                 numbers, w = np.unique(np.concatenate(hashes), return_inverse=True)
                 w, row = w.astype(np.int32), np.concatenate(rows_)
+                del hashes, rows_
                 numbers = np.append(numbers, [BEGIN, END])  # the piece's words by index, then the marks
                 s, v, a = _around(w, row, len(numbers) - 2, len(numbers) - 1)
                 part = (T.mix(numbers) % T.U(partitions)).astype(np.int32)[v]
@@ -119,18 +133,27 @@ def _rows(docs: DataFrame, partitions: int, common: np.ndarray) -> DataFrame:
                 order = np.argsort(part, kind="stable")
                 bounds = np.searchsorted(part[order], np.arange(partitions + 1))
                 ids = piece.column(0).to_numpy(zero_copy_only=False)
-                parts, rows, owners, sizes = [], [], [], []
+                parts, rows, owners = [], [], []
                 for p in range(partitions):
                     own = order[bounds[p] : bounds[p + 1]]
                     if len(own):
                         at, n = np.unique(row[own], return_counts=True)
                         parts.append(p)
                         rows.append(pack_columns([x[own] for x in (s, v, w, a)], numbers, squeeze))
-                        owners.append(ids[at].tolist())
-                        sizes.append(n.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.binary()), pa.array(owners, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["part", "rows", "ids", "sizes"])
+                        owners.append(pack_owners(ids[at], n, squeeze))
+                made = pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.binary()), pa.array(owners, pa.binary())], ["part", "rows", "owners"])
+                del s, v, w, a, row, part, often, order, numbers, rows, owners
+                _trim()
+                yield made
+                del made
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, rows binary, owners binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, rows binary, ids array<long>, sizes array<int>")
+def _trim() -> None:
+    """Give freed memory back to the system, where the C library can: two workers and a JVM share an executor's."""
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def _counts(*keys: np.ndarray) -> np.ndarray:
@@ -179,11 +202,13 @@ def score(docs: DataFrame, partitions: int | None = None) -> DataFrame:
             c = _counts(T.mix(v * T.U(3) + w))
             hit = c >= LEAST
             share[first & hit] -= np.log(begin if begin is not None else first.sum())
-        ids = np.concatenate([np.asarray(x, np.int64) for x in pdf["ids"]])
-        sizes = np.concatenate([np.asarray(x, np.int64) for x in pdf["sizes"]])
+        ids, sizes = (np.concatenate(x) for x in zip(*map(unpack_owners, pdf["owners"])))
         at, back = np.unique(ids, return_inverse=True)
         each = np.repeat(back, sizes)
-        return pd.DataFrame({"doc_id": at, "n": np.bincount(each, minlength=len(at)), "share": np.bincount(each, share, len(at))})
+        sums = pd.DataFrame({"doc_id": at, "n": np.bincount(each, minlength=len(at)), "share": np.bincount(each, share, len(at))})
+        del s, v, w, a, share, each, back, pdf
+        _trim()
+        return sums
 
     rows = _rows(docs, partitions, words)
     parts = rows.groupBy("part").applyInPandas(run, "doc_id long, n long, share double")
