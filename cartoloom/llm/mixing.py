@@ -1,7 +1,9 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by source and exact token length. The budget of a source is its share of the largest total that
-all sources can supply at their weights (1 where none is given). Within a source each length first gives its
+Documents are counted by source and exact token length. The budget of a source is its weight (1 where none is given) times
+a unit that all sources can supply: the least supply per weight. Sources without tokens don't count for the unit, nor do
+scarce ones, whose supply per weight is below a given part of the (upper) median of all; they give all they have and leave the
+others' budgets alone. The registered query and the stage mix to WEIGHTS with SCARCE. Within a source each length first gives its
 proportional whole number of documents; what remains of the budget is filled by one document per length in a seeded
 order, and the last tokens by a bounded-knapsack dynamic program that finds the subset of the remaining documents whose
 lengths come nearest to the rest without exceeding it. Which documents of a length are taken is decided by a seeded hash.
@@ -25,6 +27,10 @@ from cartoloom.llm import bpe
 from cartoloom.llm._spark import cut, table
 
 SEED = 17
+#: Target weights of the registered query and the stage: src0, the largest source, counts double; all others count 1.
+WEIGHTS = {"src0": 2.0}
+#: Sources with less than this part of the median supply per weight are scarce for them.
+SCARCE = 0.1
 #: A rest of the budget up to this many tokens goes to the dynamic program.
 KNAPSACK = 16_384
 
@@ -91,15 +97,18 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
     return take
 
 
-def mix(lengths: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED) -> DataFrame:
+def mix(lengths: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, scarce: float = 0.0) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents taken. lengths: doc_id, source, n_tokens, one row for each doc_id."""
     spark = lengths.sparkSession
     cells = cut(lengths.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")))
     supply = cells.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("supply"))
     given = spark.createDataFrame([(k, float(v)) for k, v in (weights or {}).items()], "of string, weight double")
     supply = supply.join(given, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "supply", F.coalesce("weight", F.lit(1.0)).alias("weight"))
-    least = supply.where("weight > 0").agg(F.min(F.col("supply") / F.col("weight")).alias("unit"))
-    budgets = supply.crossJoin(least).select(F.col("source").alias("of"), F.floor(F.col("unit") * F.col("weight")).alias("budget"))
+    supply = supply.withColumn("each", F.expr("CASE WHEN supply > 0 AND weight > 0 THEN supply / weight END"))
+    middle = supply.agg(F.expr("sort_array(collect_list(each))").alias("all")).select(F.expr("get(all, cast(size(all) div 2 AS int))").alias("middle"))
+    least = supply.crossJoin(middle).where(F.col("each") >= F.col("middle") * scarce).agg(F.min("each").alias("unit"))
+    whole = F.when(F.col("each") <= F.col("unit"), F.col("supply")).otherwise(F.coalesce(F.floor(F.col("unit") * F.col("weight")), F.lit(0)))
+    budgets = supply.crossJoin(least).select(F.col("source").alias("of"), whole.cast("long").alias("budget"))
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values("n_tokens")
@@ -122,8 +131,8 @@ def _measured(docs: DataFrame, **tokenizer: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """The documents taken, with all their columns."""
-    return docs.join(mix(_measured(docs)).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(mix(_measured(docs), WEIGHTS, scarce=SCARCE).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(_measured(table(spark, sf_dir, "documents")))
+    return mix(_measured(table(spark, sf_dir, "documents")), WEIGHTS, scarce=SCARCE)

@@ -244,6 +244,27 @@ def test_mixing_meets_the_weights(spark):
     assert mixing.mix(lengths.where("false")).count() == 0
 
 
+def test_empty_and_scarce_sources_leave_the_others_alone(spark, tmp_path):
+    """An empty source, one of a single short document, and the weights of the registered query and the stage."""
+    sources = ["src0"] * 40 + ["src1"] * 30 + ["src2"] * 40 + ["src3", "src4", "src4", None]
+    texts = [words(50, k) for k in range(110)] + ["one", "", None, ""]
+    rows = [(k, t, "en", s, 5) for k, (t, s) in enumerate(zip(texts, sources))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got, supply = Counter(), Counter()
+    for x in mixing._measured(docs).collect():
+        supply[x.source] += x.n_tokens
+    out = mixing.op5_mix_sources(spark, str(tmp_path)).collect()
+    for x in out:
+        got[x.source] += x.n_tokens
+    unit = supply["src0"] / 2
+    assert got["src0"] == supply["src0"] and 0 < got["src3"] == supply["src3"] < 5
+    assert all(0 <= unit - got[s] <= 1 for s in ("src1", "src2")) and got["src4"] == got[None] == 0
+    assert {x.doc_id for x in mixing.mix_sources(spark, docs).collect()} == {x.doc_id for x in out}
+    no_tokens = mixing._measured(docs.where("source IN ('src0', 'src4')"))
+    assert {x.source: x.n_tokens > 0 for x in mixing.mix(no_tokens).collect()} == {"src0": True, "src4": False}
+
+
 def test_mixed_documents_keep_their_columns(spark):
     rows = [(1, "one two three"), (1, "one two three"), (2, None), (3, ""), (None, "x y"), (4, "a " * 3000)]
     df = documents(spark, rows)
