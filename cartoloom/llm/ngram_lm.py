@@ -1,9 +1,11 @@
 """Stupid-backoff trigram scores of every document, from counts over the whole table.
 
 For the word w after u v (two begin marks before the first word) the score is log c(u v w) / c(v... u v) if the trigram was
-counted at least LEAST times, else log ALPHA + log c(v w) / c(v). Every pair of a scored document is counted (documents
-score themselves as part of the corpus), so the recursion never goes below pairs. A document's score is the sum over its
-words; perplexity is exp(-score / n_words).
+counted at least LEAST times, else log ALPHA + log c(v w) / c(v). With unigrams, that holds for pairs counted at least LEAST
+times, and for the others the score is 2 log ALPHA + log c(w) / N, where N is the number of all words. Every pair of a scored
+document is counted (documents score themselves as part of the corpus), so without unigrams, words that occur nowhere else
+score as if they were expected. op3_backoff_to_unigrams has all three levels; op3_stupid_backoff stops at pairs, as its SQL
+does. A document's score is the sum over its words; perplexity is exp(-score / n_words).
 
 Relationally: each position is exploded into one row that stands at its pair (v w), with the word before and the word after.
 The rows are partitioned by the hash of v. A partition then holds all that its rows need: the counts of its pairs, of the
@@ -13,6 +15,9 @@ The rows of a batch that go to one partition travel as one binary, in columns of
 (those with more than 1 / (SPREAD * partitions) of the positions; at most SPREAD * partitions words, so their counts are a
 table of bounded size beside each task) are spread by the hash of the pair instead.
 
+The counts of the TOP commonest words are a table beside each task. Pairs counted less than LEAST times that end with another
+word leave the partition as rows (doc_id, w, times), which are joined to the counts of all words.
+
 Words are those of _text (lower-cased runs of word characters); distinct words are told apart by 64-bit hashes, of which
 40 bits travel for each of the four words. Null texts, empty texts and texts without a word have n_words 0, score 0 and a
 null perplexity. Rows without doc_id are left out. Rows that repeat a doc_id all count for the corpus, and their scores
@@ -32,10 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
-from cartoloom.llm._spark import cut, table
+from cartoloom.llm._spark import cut, stored, table
 
 ALPHA, LEAST = 0.4, 2
 SPREAD = 8
+#: Words whose counts are broadcast (16 bytes each).
+TOP = 1 << 18
 #: Bytes of text for each partition of the rows, and for each set of binaries that a task sends.
 PARTITION_BYTES, PIECE_BYTES = 8 << 20, 16 << 20
 BITS = 40
@@ -90,23 +97,34 @@ def unpack_columns(data: bytes, columns: int) -> list[np.ndarray]:
     return np.split(numbers.view("<u8").ravel()[rank], columns)
 
 
-def common_words(docs: DataFrame, partitions: int) -> pa.Table:
-    """(v, n) of the words (and the begin mark) that begin more than 1 / (SPREAD * partitions) of all pairs. Counted exactly over all tasks."""
+def word_counts(docs: DataFrame, unigrams: bool = False) -> DataFrame:
+    """(v, n) of the words and the begin mark: how many pairs each begins; with unigrams also m, how often each occurs. Exact."""
+    names = ["n", "m"] if unigrams else ["n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = np.zeros(0, T.U), np.zeros(0, np.int64)
+        ids, counts = np.zeros(0, T.U), [np.zeros(0, np.int64) for _ in names]
         for batch in batches:
             for piece in T.pieces(batch, "text", 1 << 20):
                 w = T.words(piece.column(0))
-                v, n = np.unique(_around(w.hash & MASK, w.row, BEGIN, END)[1], return_counts=True)
-                ids, back = np.unique(np.concatenate([ids, v]), return_inverse=True)
-                counts = np.bincount(back, np.concatenate([counts, n]), len(ids)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), pa.array(counts)], ["v", "n"])
-
-    counts = docs.select("text").mapInArrow(run, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
+                h = w.hash & MASK
+                found = [np.unique(x, return_counts=True) for x in [_around(h, w.row, BEGIN, END)[1], h][: len(names)]]
+                before = len(ids)
+                ids, back = np.unique(np.concatenate([ids, *(x for x, _ in found)]), return_inverse=True)
+                at, start = [], before
+                for x, _ in found:
+                    at.append(back[start : start + len(x)])
+                    start += len(x)
+                counts = [np.bincount(np.concatenate([back[:before], i]), np.concatenate([c, n]), len(ids)).astype(np.int64) for c, i, (_, n) in zip(counts, at, found)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), *map(pa.array, counts)], ["v", *names])
+
+    counts = docs.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in ["v", *names]))
+    return cut(counts.groupBy("v").agg(*(F.sum(x).alias(x) for x in names)))
+
+
+def common_words(counts: DataFrame, partitions: int) -> pa.Table:
+    """(v, n) of the words (and the begin mark) that begin more than 1 / (SPREAD * partitions) of all pairs."""
     total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") * (SPREAD * partitions) > total).toArrow()  # fewer than SPREAD * partitions rows
+    return counts.where(F.col("n") * (SPREAD * partitions) > total).select("v", "n").toArrow()  # fewer than SPREAD * partitions rows
 
 
 def _rows(docs: DataFrame, partitions: int, common: np.ndarray) -> DataFrame:
@@ -165,8 +183,8 @@ def _counts(*keys: np.ndarray) -> np.ndarray:
     return n[back]
 
 
-def _shares(s: np.ndarray, v: np.ndarray, w: np.ndarray, a: np.ndarray, common: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """What each row adds to its document's score; rows: all those of a partition."""
+def _shares(s: np.ndarray, v: np.ndarray, w: np.ndarray, a: np.ndarray, common: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each row adds to its document's score, by trigrams and pairs, and whether its pair was counted often enough; rows: all those of a partition."""
     pair = T.mix(v * T.U(3) + w)
     c1, c2 = _counts(v), _counts(pair)
     if len(common):  # sorted; these words' rows are spread, so their counts come from the table
@@ -179,24 +197,31 @@ def _shares(s: np.ndarray, v: np.ndarray, w: np.ndarray, a: np.ndarray, common:
     share = np.where(hit, np.log(c3), np.log(ALPHA) + np.log(c2) - np.log(c1))
     follows = (next3 >= LEAST) & (a != END)
     share -= np.where(follows, np.log(c2), 0.0)
-    return share
+    return share, c2 >= LEAST
 
 
-def score(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+def score(docs: DataFrame, partitions: int | None = None, unigrams: bool = False, top: int = TOP) -> DataFrame:
     """(doc_id, n_words, score, perplexity) of each document, by the counts of all of them."""
     docs = docs.where("doc_id IS NOT NULL")
     if partitions is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         partitions = max(1, int(-(-size // PARTITION_BYTES)))
-    found = common_words(docs, partitions)
+    counted = word_counts(docs, unigrams)
+    found = common_words(counted, partitions)
     words, counts = found.column("v").to_numpy().view(T.U), found.column("n").to_numpy()
     order = np.argsort(words)
     words, counts = words[order], counts[order]
     begin = dict(zip(words.tolist(), counts.tolist())).get(int(BEGIN))
 
+    if unigrams:
+        total = counted.agg(F.sum("m")).first()[0] or 0
+        known = counted.where("m > 0").orderBy(F.desc("m"), "v").limit(top).select("v", "m").toArrow()
+        known = known.sort_by("v")
+        beside = docs.sparkSession.sparkContext.broadcast((known.column("v").to_numpy().view(T.U), known.column("m").to_numpy()))
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         s, v, w, a = (np.concatenate(c) for c in zip(*(unpack_columns(data, 4) for data in pdf["rows"])))
-        share = _shares(s, v, w, a, words, counts)
+        share, paired = _shares(s, v, w, a, words, counts)
         first = v == BEGIN  # the first word's trigram is its pair after two begin marks: c(b b w) / c(b b)
         if first.any():
             c = _counts(T.mix(v * T.U(3) + w))
@@ -205,13 +230,28 @@ def score(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         ids, sizes = (np.concatenate(x) for x in zip(*map(unpack_owners, pdf["owners"])))
         at, back = np.unique(ids, return_inverse=True)
         each = np.repeat(back, sizes)
+        if unigrams:
+            lone = np.flatnonzero(~paired)
+            names, times = beside.value
+            place = np.minimum(np.searchsorted(names, w[lone]), len(names) - 1)
+            there = names[place] == w[lone]
+            # no trigram counted LEAST times begins with such a pair, so nothing else is in its share
+            share[lone] = 2 * np.log(ALPHA) - np.log(total) + np.where(there, np.log(times[place]), 0.0)
+            rest = pd.DataFrame({"doc_id": at[each[lone[~there]]], "w": w[lone[~there]].view(np.int64)}).value_counts(sort=False).rename("n").reset_index()
         sums = pd.DataFrame({"doc_id": at, "n": np.bincount(each, minlength=len(at)), "share": np.bincount(each, share, len(at))})
+        if unigrams:
+            sums = pd.concat([sums.assign(w=np.int64(-1)), rest.assign(share=0.0)])[["doc_id", "n", "share", "w"]]
         del s, v, w, a, share, each, back, pdf
         _trim()
         return sums
 
     rows = _rows(docs, partitions, words)
-    parts = rows.groupBy("part").applyInPandas(run, "doc_id long, n long, share double")
+    parts = rows.groupBy("part").applyInPandas(run, "doc_id long, n long, share double" + ", w long" * unigrams)
+    if unigrams:  # w is -1 in the sums; elsewhere a word that pairs counted less than LEAST times end with, n times
+        parts = stored(parts.repartition("doc_id").groupBy("doc_id", "w").agg(F.sum("n").alias("n"), F.sum("share").alias("share")))
+        rest = parts.where("w >= 0").join(counted.select(F.col("v").alias("w"), "m"), "w")
+        rest = rest.groupBy("doc_id").agg(F.sum(F.col("n") * F.log("m")).alias("share")).select("doc_id", F.lit(0).cast("long").alias("n"), "share")
+        parts = parts.where("w < 0").select("doc_id", "n", "share").unionByName(rest)
     sums = parts.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("share").alias("score"))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
     out = ids.join(sums, "doc_id", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
@@ -250,7 +290,45 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score,
 FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN sums USING (doc_id)
 """
 
+#: With the level of unigrams.
+BACKOFF_TO_UNIGRAMS_SQL = r"""
+WITH lists AS (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10ffff}]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL),
+words AS (
+  SELECT row_number() OVER () AS r, doc_id, w FROM lists),
+rows_ AS (
+  SELECT r, doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM words),
+grams AS (
+  SELECT r, doc_id, word,
+    coalesce(lag(word, 1) OVER (PARTITION BY r ORDER BY i), '<s>') AS v,
+    coalesce(lag(word, 2) OVER (PARTITION BY r ORDER BY i), '<s>') AS u
+  FROM rows_),
+counted AS (
+  SELECT doc_id, r,
+    count(*) OVER (PARTITION BY u, v, word) AS c3, count(*) OVER (PARTITION BY v, word) AS c2,
+    count(*) OVER (PARTITION BY v) AS c1, count(*) OVER (PARTITION BY word) AS c0, u, v, word
+  FROM grams),
+pairs AS (SELECT v, word, count(*) AS n FROM grams GROUP BY ALL),
+begins AS (SELECT count(*) AS n FROM grams WHERE v = '<s>'),
+shares AS (
+  SELECT doc_id, CASE WHEN c3 >= 2
+    THEN ln(c3) - ln(CASE WHEN counted.v = '<s>' THEN (SELECT n FROM begins) ELSE pairs.n END)
+    WHEN c2 >= 2 THEN ln(0.4) + ln(c2) - ln(c1)
+    ELSE 2 * ln(0.4) + ln(c0) - ln((SELECT count(*) FROM grams)) END AS share
+  FROM counted LEFT JOIN pairs ON pairs.v = counted.u AND pairs.word = counted.v),
+sums AS (SELECT doc_id, count(*) AS n_words, sum(share) AS score FROM shares GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score, 0.0), 6) AS score,
+  CASE WHEN n_words > 0 THEN round(exp(-score / n_words), 6) END AS perplexity
+FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN sums USING (doc_id)
+"""
+
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("perplexity", 6).alias("perplexity"))
+
+
+def op3_backoff_to_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score(table(spark, sf_dir, "documents"), unigrams=True)
+    return out.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("perplexity", 6).alias("perplexity"))

@@ -127,6 +127,41 @@ def test_backoff_scores(spark, partitions):
         assert r.perplexity == (pytest.approx(math.exp(-s / n)) if n else None)
 
 
+@pytest.mark.parametrize("partitions, top", [(1, 1 << 18), (3, 2)])
+def test_backoff_reaches_the_unigrams(spark, partitions, top):
+    rows = [(i, t) for i, t in corpus() if i != 305] + [(305, "the the the the cat the end " * 3000), (400, " ".join(f"gibber{k}" for k in range(40)))]
+    uni, tri, bi, first, docs = Counter(), Counter(), Counter(), Counter(), []
+    for i, t in rows:
+        if i is None:
+            continue
+        x = T.words(pa.array([t or ""]))
+        w = [bytes(x.data[a:b]).decode().lower() for a, b in zip(x.start, x.end)]
+        grams = [*zip(["<s>", "<s>", *w], ["<s>", *w], w)]
+        docs.append((i, grams))
+        uni.update(w)
+        tri.update(grams)
+        bi.update(g[1:] for g in grams)
+        first.update(g[1] for g in grams)
+    want = defaultdict(lambda: [0, 0.0])
+    for i, grams in docs:
+        for s, v, w in grams:
+            if tri[s, v, w] >= 2:
+                p = tri[s, v, w] / (first[v] if v == "<s>" else bi[s, v])
+            elif bi[v, w] >= 2:
+                p = 0.4 * bi[v, w] / first[v]
+            else:
+                p = 0.4**2 * uni[w] / uni.total()
+            want[i] = [want[i][0] + 1, want[i][1] + math.log(p)]
+    got = {r.doc_id: r for r in ngram_lm.score(documents(spark, rows), partitions, unigrams=True, top=top).collect()}
+    assert set(got) == {i for i, _ in rows if i is not None}
+    for i, r in got.items():
+        n, s = want[i]
+        assert r.n_words == n and r.score == pytest.approx(s, rel=1e-9, abs=1e-9)
+    assert got[400].perplexity == pytest.approx(uni.total() / 0.4**2)
+    assert ngram_lm.score(documents(spark, [(1, None)]), unigrams=True).first().n_words == 0
+    assert ngram_lm.score(documents(spark, []), unigrams=True).count() == 0
+
+
 def test_backoff_of_an_empty_table(spark):
     assert ngram_lm.score(documents(spark, [])).count() == 0
     assert ngram_lm.score(documents(spark, [(1, None)])).first().n_words == 0
