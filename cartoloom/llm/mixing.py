@@ -6,7 +6,9 @@ scarce ones, whose supply per weight is below a given part of the (upper) median
 others' budgets alone. The registered query and the stage mix to WEIGHTS with SCARCE. Within a source each length first gives its
 proportional whole number of documents; what remains of the budget is filled by one document per length in a seeded
 order, and the last tokens by a bounded-knapsack dynamic program that finds the subset of the remaining documents whose
-lengths come nearest to the rest without exceeding it. Which documents of a length are taken is decided by a seeded hash.
+lengths come nearest to the rest without exceeding it. Where that leaves tokens over, picks are undone and the program runs
+over them as well, in windows that double until the budget is met, all picks are undone (then the result is the best that
+any subset gives), or the window is beyond WINDOW and eight times the longest document. Which documents of a length are taken is decided by a seeded hash.
 
 Rows without doc_id are never taken; rows of one doc_id are taken or left together, and their lengths add up. A null
 source is a source of its own. Texts without a token count as length 0 and are taken proportionally. Ties go by doc_id.
@@ -33,6 +35,8 @@ WEIGHTS = {"src0": 2.0}
 SCARCE = 0.1
 #: A rest of the budget up to this many tokens goes to the dynamic program.
 KNAPSACK = 16_384
+#: Undone picks of up to this many tokens, or eight times the longest document, are tried again.
+WINDOW = 1 << 20
 
 
 def token_lengths(docs: DataFrame, *columns: str, folder: str = bpe.TOKENIZERS, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
@@ -52,23 +56,27 @@ def token_lengths(docs: DataFrame, *columns: str, folder: str = bpe.TOKENIZERS,
 def nearest_subset(lengths: list[int], counts: list[int], rest: int) -> dict[int, int]:
     """How many of each length to take (at most its count) so that their sum is the largest that rest allows."""
     full = (1 << (rest + 1)) - 1
-    reach, steps = 1, []
+    reach, steps, first = 1, [], np.zeros(rest + 1, np.int32)  # first: the step that first reaches each sum
     for length, count in zip(lengths, counts):
         if not 0 < length <= rest:
             continue
         count, chunk = min(count, rest // length), 1
         while count:  # binary splitting makes the bounded counts single items
             n = min(chunk, count)
-            steps.append((length, n, reach))
-            reach |= reach << (length * n) & full
+            new = reach << (length * n) & full & ~reach
+            if new:
+                bits = np.unpackbits(np.frombuffer(new.to_bytes(rest // 8 + 1, "little"), np.uint8), bitorder="little")
+                first[np.flatnonzero(bits)] = len(steps)
+                steps.append((length, n))
+                reach |= new
             count, chunk = count - n, chunk * 2
         if reach >> rest & 1:
             break
     at, take = reach.bit_length() - 1, {}
-    for length, n, before in reversed(steps):
-        if not before >> at & 1:
-            take[length] = take.get(length, 0) + n
-            at -= length * n
+    while at:
+        length, n = steps[first[at]]
+        take[length] = take.get(length, 0) + n
+        at -= length * n
     return take
 
 
@@ -80,7 +88,7 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
     take = np.array([int(c) * budget // total for c in counts], np.int64)
     rest = budget - int((lengths * take).sum())
     order = np.random.default_rng(seed).permutation(len(lengths))
-    moved = True
+    moved, whole = True, False
     while rest > KNAPSACK and moved:
         moved = False
         for i in order:
@@ -90,11 +98,25 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
                 take[i] += 1
                 rest -= int(lengths[i])
                 moved = True
-    if rest > 0:
-        found = nearest_subset([int(x) for x in lengths[order]], [int(x) for x in (counts - take)[order]], rest)
-        for i, length in enumerate(lengths):
-            take[i] += found.get(int(length), 0)
-    return take
+    usable = lengths[(lengths > 0) & (lengths <= budget)]
+    longest, step = (int(usable.max()), int(np.gcd.reduce(usable))) if len(usable) else (0, 1)
+    window, most = max(KNAPSACK, 2 * longest), max(WINDOW, 8 * longest)
+    while True:
+        if rest > 0:
+            found = nearest_subset([int(x) for x in lengths[order]], [int(x) for x in (counts - take)[order]], rest)
+            for i, length in enumerate(lengths):
+                take[i] += found.get(int(length), 0)
+                rest -= int(length) * found.get(int(length), 0)
+        if rest < step or whole or window > most:  # sums are multiples of step
+            return take
+        while rest < window and (lengths * take).any():  # undo picks of every length
+            for i in order:
+                if take[i] and lengths[i] and rest < window:
+                    n = min(int(take[i]), max(1, int(take[i]) * window // budget))
+                    take[i] -= n
+                    rest += n * int(lengths[i])
+        whole = not (lengths * take).any()
+        window *= 2
 
 
 def mix(lengths: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, scarce: float = 0.0) -> DataFrame:

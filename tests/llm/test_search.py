@@ -260,6 +260,21 @@ def test_nearest_subset_is_the_best():
         assert got == best
 
 
+def test_long_documents_meet_a_reachable_budget():
+    lengths = np.array([18_000, 25_000, 32_000, 41_000, 47_000])
+    take = mixing.fit(lengths, np.ones(5, np.int64), 73_000)
+    assert (lengths * take).sum() == 73_000 and take.max() == 1
+    r = np.random.default_rng(10)
+    for _ in range(20):
+        lengths, counts = np.unique(r.integers(17_000, 60_000, 9), return_counts=True)
+        budget = int(r.integers(20_000, 300_000))
+        sums = [sum(p) for k in range(len(lengths) + 1) for p in itertools.combinations(np.repeat(lengths, counts).tolist(), k)]
+        assert (lengths * mixing.fit(lengths, counts, budget)).sum() == max(x for x in sums if x <= budget)
+    lengths = np.arange(17_000, 17_400)  # many picks, most of which stay
+    take = mixing.fit(lengths, np.full(400, 30), 100_000_001)
+    assert (lengths * take).sum() == 100_000_001 and (take <= 30).all()
+
+
 def test_mixing_meets_the_weights(spark):
     r = np.random.default_rng(8)
     rows = [(k, "abc"[min(2, k % 7)], int(r.integers(0, 200))) for k in range(500)] + [(900, None, 50), (901, None, 70)]
