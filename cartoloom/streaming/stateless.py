@@ -1,7 +1,6 @@
 """The stateless tools over folders that files are added to: Structured Streaming file sources.
 
-Joins, limits and global sequences need whole inputs and stay batch; foreach_map shows the way for those: each
-micro-batch is one input.
+Joins, limits and global sequences need whole inputs and stay batch.
 """
 
 from __future__ import annotations
