@@ -185,6 +185,15 @@ def code_table(spark: SparkSession, code: Code) -> DataFrame:
     return spark.createDataFrame([(int(i), int(code.lengths[i]), int(code.codes[i])) for i in s], "id int, length int, code int")
 
 
+def lengths_row(code: Code, like: DataFrame) -> DataFrame:
+    """A row like those of encode: the code lengths by id, one byte each, as payload; n_tokens, checkpoints and verified null."""
+    row = like.sparkSession.createDataFrame([(bytearray(code.lengths.tobytes()),)], "lengths binary")
+    return row.select(*(F.col("lengths").alias(c) if c == "payload" else F.lit(None).cast(t.dataType).alias(c) for c, t in ((t.name, t) for t in like.schema)))
+
+
 def op6_huffman_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of encode, and one with n_tokens null whose payload holds the code lengths: all that decoding needs."""
     tokens = stored(token_ids(table(spark, sf_dir, "documents")))
-    return encode(tokens, Code.of(code_lengths(count_ids(tokens))))
+    code = Code.of(code_lengths(count_ids(tokens)))
+    rows = encode(tokens, code)
+    return rows.unionByName(lengths_row(code, rows))

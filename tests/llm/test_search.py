@@ -322,6 +322,19 @@ def test_mixed_documents_keep_their_columns(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == {1, 2, 3, 4}
 
 
+def test_huffman_result_decodes_by_itself(spark, tmp_path):
+    rows = [(1, words(700, 1)), (2, None), (3, ""), (None, "lone text"), (4, words(300, 2))]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = huffman.op6_huffman_token_ids(spark, str(tmp_path)).collect()
+    (lengths,) = [r.payload for r in out if r.n_tokens is None]
+    code = huffman.Code.of(np.frombuffer(bytes(lengths), np.uint8))
+    found = [r for r in out if r.n_tokens is not None]
+    ids, at = code.decode([bytes(r.payload) for r in found], [r.checkpoints for r in found], np.array([r.n_tokens for r in found]))
+    got = {r.doc_id: ids[a:b].tolist() for r, a, b in zip(found, at, at[1:])}
+    want = {r.doc_id: np.frombuffer(bytes(r.ids), "<u2").tolist() for r in huffman.token_ids(documents(spark, rows)).collect()}
+    assert len(found) == len(rows) and got == want
+
+
 def brute_pack(lengths, sizes):
     """Best fit by looking at every open bin, the latest of equals."""
     bins, out, left = [], [], sum(lengths)
