@@ -56,17 +56,13 @@ def counted(row: np.ndarray, index: np.ndarray, rows: int, size: int) -> Sparse:
 def sample(spark: SparkSession, sf_dir: str, label: str, most: int, seed: int = 7, columns: tuple[str, ...] = ()) -> DataFrame:
     """At most `most` documents with a label, chosen by a seeded hash of doc_id: doc_id, label, text and columns.
 
-    A doc_id with several labels has the largest; null labels and ids don't count. This is the one place where a bound
-    holds: only models are fitted on these rows.
+    A doc_id with several labels has the largest, one with several rows the row with the largest text (then the largest
+    columns); null labels and ids don't count. This is the one place where a bound holds: only models are fitted on these rows.
     """
     chosen = table(spark, sf_dir, "labels").where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text", *columns).dropDuplicates(["doc_id"])
-
-
-def labelled(*args, **named) -> pa.Table:
-    """The sample's rows on the driver, in order of doc_id."""
-    return sample(*args, **named).orderBy("doc_id").toArrow()
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max(F.struct("text", *columns)).alias("row"))
+    return rows.select("doc_id", "label", "row.*")
 
 
 def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
@@ -81,6 +77,12 @@ def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
     return pickle.loads(found[0].model) if found else fit(rows.limit(0).toArrow())
 
 
+def compact(x: Sparse) -> tuple[np.ndarray, Sparse]:
+    """The indexes that occur, and the rows with indexes among them."""
+    ids, back = np.unique(x.index, return_inverse=True)
+    return ids, Sparse(back, x.value, x.offsets)
+
+
 def adam(grad, weights: list[np.ndarray], steps: int, rate: float) -> list[np.ndarray]:
     """Minimise by full-batch Adam; grad(weights) gives the gradients."""
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
@@ -94,8 +96,3 @@ def adam(grad, weights: list[np.ndarray], steps: int, rate: float) -> list[np.nd
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
-
-
-def passed(docs: DataFrame, run, added: str) -> DataFrame:
-    """mapInArrow over all columns of docs, with the added ones after them."""
-    return docs.mapInArrow(run, f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in docs.schema.fields)}, {added}" if added else docs.schema)

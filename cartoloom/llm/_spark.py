@@ -4,11 +4,28 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from cartoloom.checkpoint import cut, shared_dir
 
-__all__ = ["cut", "shared_dir", "stored", "table"]
+__all__ = ["columns", "cut", "mapped", "removed", "shared_dir", "stored", "table"]
+
+
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, whatever signs their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """mapInArrow over all columns of df, which run keeps in number and type; it sees them by place, not by name."""
+    fields = df.schema.fields
+    places = types.StructType([types.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
+    return df.toDF(*places.fieldNames()).mapInArrow(run, places).toDF(*(f.name for f in fields))
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -19,5 +36,12 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, df: DataFrame) -> None:
+    """Delete the files of a stored table, once nothing reads it any more."""
+    for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -1,7 +1,8 @@
 """Exact byte-level BPE of Arrow text columns at vector speed.
 
 The pre-tokens of a batch are found by array operations on code points; each distinct pre-token is encoded once by
-tiktoken and kept by its hash, so the cost per occurrence is that of a sort. The result is the same as encode_ordinary's.
+tiktoken and kept by its hash, so an occurrence costs a look-up in a hash table. The result is the same as encode_ordinary's.
+The folder of the vocabulary (TOKENIZERS unless told otherwise) must be on every executor.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ import functools
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from cartoloom.llm import _text as T
@@ -80,10 +82,16 @@ class Bpe:
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.ids: list[list[int]] = []
+        self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of each pre-token in self.ids; the borders of the rows in them."""
+    def _learn(self, pre_tokens: list[str]) -> None:
+        found = [self.encoding.encode_ordinary(t) for t in pre_tokens]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.flat = np.concatenate([self.flat, np.fromiter((x for one in found for x in one), np.int32, int(sizes.sum()))])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
+
+    def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the known pre-tokens each one is; the borders of the rows in them."""
         data, offsets = T.raw(texts)
         text = data.tobytes().decode("utf-8")
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -96,37 +104,32 @@ class Bpe:
         sums = np.zeros(len(code) + 1, T.U)
         np.cumsum(T.mix(code.astype(T.U) + T.U(1)) * up[: len(code)], out=sums[1:])
         hashes = T.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(T.U))
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        back, distinct = pd.factorize(hashes)
         if len(self.known) + len(distinct) > REMEMBERED:
             self._forget()
-        known, ids = self.known, self.ids
-        at = np.empty(len(distinct), np.int64)
-        for i, h in enumerate(distinct.tolist()):
-            k = known.get(h)
-            if k is None:
-                k = known[h] = len(ids)
-                j = first[i]
-                ids.append(self.encoding.encode_ordinary(text[start[j] : end[j]]))
-            at[i] = k
-        return at, back, np.searchsorted(start, rows)
+        known = self.known
+        at = np.fromiter((known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            first = np.empty(len(distinct), np.int64)
+            first[back[::-1]] = np.arange(len(back))[::-1]
+            at[new] = np.arange(len(known), len(known) + len(new))
+            known.update(zip(distinct[new].tolist(), at[new].tolist()))
+            self._learn([text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+        return at[back], np.searchsorted(start, rows)
 
     def lengths(self, texts: pa.Array) -> np.ndarray:
         """Tokens in each text; null has none."""
-        at, back, rows = self._pieces(texts)
-        size = np.fromiter((len(self.ids[k]) for k in at), np.int64, len(at))[back]
-        return np.diff(np.r_[0, np.cumsum(size)][rows])
+        at, rows = self._pieces(texts)
+        return np.diff(np.r_[0, np.cumsum(np.diff(self.begin)[at])][rows])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts and the borders of the texts in them."""
-        at, back, rows = self._pieces(texts)
-        lists = [self.ids[k] for k in at]
-        size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((x for one in lists for x in one), np.int32, int(size.sum()))
-        begin = np.r_[0, np.cumsum(size)][:-1] if len(size) else size
-        each = size[back]
+        at, rows = self._pieces(texts)
+        each = np.diff(self.begin)[at]
         ends = np.cumsum(each)
-        take = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - each, each) + np.repeat(begin[back], each)
-        return flat[take], np.r_[0, ends][rows]
+        take = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.begin[at] - ends + each, each)
+        return self.flat[take], np.r_[0, ends][rows]
 
 
 @functools.cache

@@ -3,7 +3,8 @@
 Each text is a sparse row: its words' relative frequencies (hashed), nine statistics of its structure, and one-hot hashed
 language and source. The machine adds low-rank interactions of every pair of features to a linear score; the sum over pairs
 is taken in linear time, as half the difference of the squared sum and the sum of squares in each of RANK dimensions. It
-is fitted by full-batch Adam on at most TRAIN_ROWS labelled documents; every document is scored over its whole text.
+is fitted by full-batch Adam, in one task, on at most TRAIN_ROWS labelled documents and over the features that occur in them
+(others have no weight); every document is scored over its whole text.
 
 Null texts count as empty, whose statistics are 0; a null language or source is a value of its own. Where the labels lack a
 class, no model can be fitted: the probability is the share of good labels (1.0 if there are none). Rows are scored one by
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from cartoloom.llm import _text as T
-from cartoloom.llm._features import Sparse, adam, counted, labelled, sigmoid, stack
+from cartoloom.llm._features import Sparse, adam, compact, counted, fitted, sample, sigmoid, stack
 from cartoloom.llm._spark import table
 
 TRAIN_ROWS = 2000
@@ -103,28 +104,36 @@ def fit(x: Sparse, y: np.ndarray, steps: int = 100, seed: int = 3) -> Model:
         return Model(40.0 if len(y) == 0 or y[0] else -40.0, np.zeros(SIZE), np.zeros((SIZE, RANK)), np.zeros(STATS), np.ones(STATS))
     stats = x.value[(x.index >= WORDS) & (x.index < WORDS + STATS)].reshape(-1, STATS)
     mean, spread = stats.mean(0), stats.std(0) + 1e-6
-    x = Model(0.0, np.zeros(0), np.zeros(0), mean, spread).scaled(x)
+    ids, x = compact(Model(0.0, np.zeros(0), np.zeros(0), mean, spread).scaled(x))
+    # every row has its statistics, so no row is empty; sorted by index, sums over a feature's occurrences are segments, too
+    value, row, by_row = x.value.astype(np.float32)[:, None], x.row, x.offsets[:-1]
+    order = np.argsort(x.index, kind="stable")
+    by_index = np.searchsorted(x.index[order], np.arange(len(ids)))
 
     def grad(w: list[np.ndarray]) -> list[np.ndarray]:
         bias, linear, factors = w
-        v = factors[x.index]
-        sums = T.segment_sum(v * x.value[:, None], x.offsets)
-        z = bias[0] + x.dot(linear) + 0.5 * (sums**2 - T.segment_sum((v * x.value[:, None]) ** 2, x.offsets)).sum(1)
-        g = (sigmoid(z) - y) / len(y)
-        each = (np.repeat(g, np.diff(x.offsets)) * x.value)[:, None] * (np.repeat(sums, np.diff(x.offsets), axis=0) - v * x.value[:, None])
-        gv = np.stack([np.bincount(x.index, each[:, k], SIZE) for k in range(RANK)], 1)
-        return [np.array([g.sum()]), x.back(g, SIZE) + 1e-6 * linear, gv + 1e-6 * factors]
+        v = factors.astype(np.float32)[x.index] * value
+        sums = np.add.reduceat(v, by_row, axis=0)
+        pairs = (sums**2 - np.add.reduceat(v * v, by_row, axis=0)).sum(1)
+        g = (sigmoid(bias[0] + x.dot(linear) + 0.5 * pairs) - y) / len(y)
+        each = (g.astype(np.float32)[row, None] * value) * (sums[row] - v)
+        return [np.array([g.sum()]), x.back(g, len(ids)) + 1e-6 * linear, np.add.reduceat(each[order], by_index, axis=0) + 1e-6 * factors]
 
-    start = np.random.default_rng(seed).normal(0, 0.01, (SIZE, RANK))
-    bias, linear, factors = adam(grad, [np.zeros(1), np.zeros(SIZE), start], steps, 0.03)
-    return Model(float(bias[0]), linear.astype(np.float32), factors.astype(np.float32), mean, spread)
+    start = np.random.default_rng(seed).normal(0, 0.01, (SIZE, RANK))[ids]
+    bias, own_linear, own_factors = adam(grad, [np.zeros(1), np.zeros(len(ids)), start], steps, 0.03)
+    linear, factors = np.zeros(SIZE, np.float32), np.zeros((SIZE, RANK), np.float32)
+    linear[ids], factors[ids] = own_linear, own_factors
+    return Model(float(bias[0]), linear, factors, mean, spread)
+
+
+def fit_rows(rows: pa.Table) -> Model:
+    """rows: text, lang, source and label."""
+    parts = [features(p.column("text"), p.column("lang"), p.column("source")) for b in rows.combine_chunks().to_batches() for p in T.pieces(b)]
+    return fit(stack(parts), rows.column("label").to_numpy().astype(np.float64))
 
 
 def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Model:
-    sample = labelled(spark, sf_dir, "quality", rows, columns=("lang", "source"))
-    y = sample.column("label").to_numpy().astype(np.float64)
-    parts = [features(p.column("text"), p.column("lang"), p.column("source")) for b in sample.combine_chunks().to_batches() for p in T.pieces(b)]
-    return fit(stack(parts), y)
+    return fitted(sample(spark, sf_dir, "quality", rows, columns=("lang", "source")), fit_rows)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:

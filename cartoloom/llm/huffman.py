@@ -7,7 +7,8 @@ independently. The decoder looks MOST_BITS bits up in one table (symbol and leng
 
 Null texts and texts without a token have no ids: an empty payload, no checkpoint, 0 tokens. Where there is one symbol only,
 its code has one bit. An empty table has an empty code. Rows are coded one by one: repeated rows are counted and coded as
-often as they occur, a null doc_id passes through, and other columns are never looked at.
+often as they occur, a null doc_id passes through, and other columns are never looked at. Ids of MOST_IDS or more are an
+error, never wrapped. The vocabulary's folder must be on every executor.
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from cartoloom.llm._spark import stored, table
 
 MOST_BITS = 16
 BLOCK = 256
-VOCABULARY_SIZE = 50_257
+#: Ids travel in 16 bits; a vocabulary with larger ones is refused.
+MOST_IDS = 1 << 16
 
 
 def code_lengths(counts: np.ndarray, most: int = MOST_BITS) -> np.ndarray:
@@ -135,6 +137,8 @@ def token_ids(docs: DataFrame, folder: str = bpe.TOKENIZERS, vocabulary: str = b
         for batch in batches:
             for piece in T.pieces(batch, "text", 1 << 20):
                 ids, offsets = coder.encode(piece.column(1))
+                if len(ids) and int(ids.max()) >= MOST_IDS:
+                    raise ValueError(f"token id {int(ids.max())} doesn't fit 16 bits")
                 data = pa.py_buffer(ids.astype("<u2").tobytes())
                 binary = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * 2).astype(np.int32).tobytes()), data])
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(offsets)), binary], ["doc_id", "n_tokens", "ids"])
@@ -151,13 +155,13 @@ def count_ids(tokens: DataFrame) -> np.ndarray:
     """The count of every id over the whole table; each task sends one row for each id that it saw."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << 16, np.int64)
+        total = np.zeros(MOST_IDS, np.int64)
         for batch in batches:
-            total += np.bincount(_ids(batch.column(0))[0], minlength=1 << 16)
+            total += np.bincount(_ids(batch.column(0))[0], minlength=MOST_IDS)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
-    counts = np.zeros(1 << 16, np.int64)
+    counts = np.zeros(MOST_IDS, np.int64)
     found = tokens.select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts[found.column("id").to_numpy()] = found.column("n").to_numpy()  # at most 65,536 rows
     return counts
@@ -179,12 +183,6 @@ def encode(tokens: DataFrame, code: Code) -> DataFrame:
     return tokens.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {tokens.schema['doc_id'].dataType.simpleString()}, n_tokens long, payload binary, checkpoints array<long>, verified boolean")
 
 
-def code_table(spark: SparkSession, code: Code) -> DataFrame:
-    """(id, length, code): what a reader needs besides the payloads; the lengths alone would do."""
-    s = np.flatnonzero(code.lengths)
-    return spark.createDataFrame([(int(i), int(code.lengths[i]), int(code.codes[i])) for i in s], "id int, length int, code int")
-
-
 def lengths_row(code: Code, like: DataFrame) -> DataFrame:
     """A row like those of encode: the code lengths by id, one byte each, as payload; n_tokens, checkpoints and verified null."""
     row = like.sparkSession.createDataFrame([(bytearray(code.lengths.tobytes()),)], "lengths binary")

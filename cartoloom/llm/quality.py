@@ -1,8 +1,9 @@
 """Quality rules: hashed word and character n-gram logistic regression, calibrated, against fixed thresholds.
 
 Features are the relative frequencies of hashed words, word pairs and four-byte sequences of the whole text. The model is
-fitted on at most TRAIN_ROWS labelled documents (chosen by hash of doc_id); a fifth of them is held out to calibrate the
-probability by Platt's sigmoid. A text is kept if its probability of being good is at least KEEP, and is for review if it is
+fitted in one task on at most TRAIN_ROWS labelled documents (chosen by hash of doc_id), over the features that occur in
+them; a fifth of them is held out to calibrate the probability by Platt's sigmoid. Where that fifth has fewer than two rows
+of a class (so with fewer than about ten labels of one), nothing is held out, and the calibration uses the fitted rows. A text is kept if its probability of being good is at least KEEP, and is for review if it is
 below REVIEW. Scores come from Arrow batches; all documents are scored, over their whole text.
 
 A null text counts as empty. An empty text has no features: its probability is the calibrated one of the bias alone. Where
@@ -21,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from cartoloom.llm import _text as T
-from cartoloom.llm._features import Sparse, adam, counted, labelled, sigmoid, stack
-from cartoloom.llm._spark import table
+from cartoloom.llm._features import Sparse, adam, compact, counted, fitted, sample, sigmoid, stack
+from cartoloom.llm._spark import mapped, table
 
 TRAIN_ROWS = 2000
 KEEP, REVIEW = 0.5, 0.8
@@ -98,7 +99,7 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 120) -> Model:
     if len(y) == 0 or y.min() == y.max():
         return Model(np.zeros(3 * SIZE), 40.0 if len(y) == 0 or y[0] else -40.0)
     batch = pa.RecordBatch.from_arrays([texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts], ["text"])
-    x = stack([features(p.column(0)) for p in T.pieces(batch)])
+    ids, x = compact(stack([features(p.column(0)) for p in T.pieces(batch)]))
     held = np.arange(len(y)) % 5 == 4
     if min(y[held].sum(), (1 - y[held]).sum()) < 2:
         held[:] = False
@@ -106,17 +107,18 @@ def fit(texts: pa.Array, y: np.ndarray, steps: int = 120) -> Model:
 
     def grad(w: list[np.ndarray]) -> list[np.ndarray]:
         g = (sigmoid(x.dot(w[0]) + w[1][0]) - y) * share
-        return [x.back(g, 3 * SIZE) + 1e-6 * w[0], np.array([g.sum()])]
+        return [x.back(g, len(ids)) + 1e-6 * w[0], np.array([g.sum()])]
 
-    weights, bias = adam(grad, [np.zeros(3 * SIZE), np.zeros(1)], steps, 0.02)
-    z = x.dot(weights) + bias[0]
+    own, bias = adam(grad, [np.zeros(len(ids)), np.zeros(1)], steps, 0.02)
+    z = x.dot(own) + bias[0]
+    weights = np.zeros(3 * SIZE)
+    weights[ids] = own
     used = held if held.any() else np.ones(len(y), bool)
     return Model(weights.astype(np.float32), float(bias[0]), *platt(z[used], y[used]))
 
 
 def train(spark: SparkSession, sf_dir: str, rows: int = TRAIN_ROWS) -> Model:
-    sample = labelled(spark, sf_dir, "quality", rows)
-    return fit(sample.column("text"), sample.column("label").to_numpy().astype(np.float64))
+    return fitted(sample(spark, sf_dir, "quality", rows), lambda t: fit(t.column("text"), t.column("label").to_numpy().astype(np.float64)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -142,7 +144,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             for piece in T.pieces(batch):
                 yield piece.filter(pa.array(shared.value.probability(piece.column(text)) >= KEEP))
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
