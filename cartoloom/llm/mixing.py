@@ -3,7 +3,7 @@
 Documents are counted by source and exact token length. The budget of a source is its weight (1 where none is given) times
 a unit that all sources can supply: the least supply per weight. Sources without tokens don't count for the unit, nor do
 scarce ones, whose supply per weight is below a given part of the (upper) median of all; they give all they have and leave the
-others' budgets alone. The registered query and the stage mix to WEIGHTS with SCARCE. Within a source each length first gives its
+others' budgets alone. A source without tokens has the budget 0. The registered query and the stage mix to WEIGHTS with SCARCE. Within a source each length first gives its
 proportional whole number of documents; what remains of the budget is filled by one document per length in a seeded
 order, and the last tokens by a bounded-knapsack dynamic program that finds the subset of the remaining documents whose
 lengths come nearest to the rest without exceeding it. Where that leaves tokens over, picks are undone and the program runs
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
 from cartoloom.llm import bpe
-from cartoloom.llm._spark import cut, table
+from cartoloom.llm._spark import columns, cut, table
 
 SEED = 17
 #: Target weights of the registered query and the stage: src0, the largest source, counts double; all others count 1.
@@ -37,6 +37,8 @@ SCARCE = 0.1
 KNAPSACK = 16_384
 #: Undone picks of up to this many tokens, or eight times the longest document, are tried again.
 WINDOW = 1 << 20
+#: Documents of one source and length are ranked in buckets of about so many.
+RANKED = 1 << 16
 
 
 def token_lengths(docs: DataFrame, *columns: str, folder: str = bpe.TOKENIZERS, vocabulary: str = bpe.VOCABULARY) -> DataFrame:
@@ -139,11 +141,33 @@ def mix(lengths: DataFrame, weights: dict[str, float] | None = None, seed: int =
 
     here = cells.join(budgets, F.col("source").eqNullSafe(F.col("of"))).select("source", "n_tokens", "docs", "budget")
     takes = here.groupBy("source").applyInPandas(run, "source string, n_tokens long, take long").where("take > 0")
-    takes = takes.select(F.col("source").alias("of"), F.col("n_tokens").alias("length"), "take")
-    rank = F.row_number().over(Window.partitionBy("source", "n_tokens").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id"))
-    ranked = lengths.withColumn("rank", rank)
-    on = F.col("source").eqNullSafe(F.col("of")) & (F.col("n_tokens") == F.col("length")) & (F.col("rank") <= F.col("take"))
-    return ranked.join(takes, on).select("doc_id", "source", "n_tokens")
+    docs = cells.select(F.col("source").alias("s"), F.col("n_tokens").alias("n"), "docs")
+    takes = takes.join(docs, F.col("source").eqNullSafe(F.col("s")) & (F.col("n_tokens") == F.col("n")))
+    return taken(lengths, cut(takes.select("source", "n_tokens", "take", "docs")), seed)
+
+
+def taken(lengths: DataFrame, takes: DataFrame, seed: int, size: int = RANKED) -> DataFrame:
+    """Of each source and length the documents whose seeded hashes come first. takes: source, n_tokens, take, docs.
+
+    The documents of a source and length lie in buckets of the hash, about size in each and in order of it. The counts of the
+    buckets show which are taken whole and which not at all; only the one at the border is ranked, however many are alike.
+    """
+    cell = ["source", "n_tokens"]
+
+    def joined(rows: DataFrame, other: DataFrame, *keys: str) -> DataFrame:
+        own = other.select(*(F.col(c).alias(f"_{c}") if c in keys else F.col(c) for c in other.columns))
+        return rows.join(own, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]).drop(*(f"_{k}" for k in keys))
+
+    hashed = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(seed)), 1)  # 63 bits, of which the upper 32 make the bucket
+    rows = joined(lengths, takes, *cell).withColumn("hash", hashed).withColumn("bucket", F.expr(f"shiftright(hash, 31) * (docs div {size} + 1) div {1 << 32}"))
+    parts = rows.where("take < docs")
+    counts = parts.groupBy(*cell, "bucket").agg(F.count("*").alias("here"))
+    earlier = Window.partitionBy(*cell).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("here").over(earlier), F.lit(0)))
+    parts = joined(parts, counts, *cell, "bucket").where("before < take")
+    rank = F.row_number().over(Window.partitionBy(*cell, "bucket").orderBy("hash", "doc_id"))
+    border = parts.where("before + here > take").withColumn("rank", rank).where("before + rank <= take")
+    return rows.where("take = docs").select("doc_id", *cell).union(parts.where("before + here <= take").select("doc_id", *cell)).union(border.select("doc_id", *cell))
 
 
 def _measured(docs: DataFrame, **tokenizer: str) -> DataFrame:
@@ -153,7 +177,7 @@ def _measured(docs: DataFrame, **tokenizer: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
     """The documents taken, with all their columns."""
-    return docs.join(mix(_measured(docs), WEIGHTS, scarce=SCARCE).select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(mix(_measured(docs), WEIGHTS, scarce=SCARCE).select("doc_id"), "doc_id", "left_semi").select(*columns(docs))
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

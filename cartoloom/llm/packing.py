@@ -6,7 +6,8 @@ cost less the worth of the room that the pieces still to come can use, at the le
 end each bin is downsized to the least permitted size that holds its contents.
 
 A document longer than the largest size is cut into pieces of that size and a rest. Documents are packed in shards of
-about SHARD_TOKENS tokens, by a hash of doc_id, whose number grows with the tokens; so a shard's work is bounded.
+about SHARD_TOKENS tokens or SHARD_PIECES pieces, whichever makes more, by a hash of doc_id; their number grows with the
+table, so a shard's work and memory are bounded. Bins never cross shards: each leaves at most a few part-filled ones.
 
 Rows without doc_id and texts without a token give no piece. Rows that repeat a doc_id are packed as one document that
 has the sum of their lengths. Ties in length go by doc_id. An empty table gives no rows.
@@ -23,6 +24,7 @@ from cartoloom.llm.mixing import token_lengths
 
 SIZES = (512, 1024, 2048, 4096, 8192)
 SHARD_TOKENS = 1 << 25
+SHARD_PIECES = 1 << 18
 SCHEMA = "doc_id long, piece int, token_start long, n_tokens long, bin_id long, bin_size int, position int"
 
 
@@ -63,11 +65,11 @@ def pack(lengths: list[int], sizes: tuple[int, ...] = SIZES) -> tuple[list[int],
     return bins, at, [next(s for s in sorted(sizes) if s >= u) for u in used]
 
 
-def pack_lengths(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+def pack_lengths(lengths: DataFrame, sizes: tuple[int, ...] = SIZES, shard_tokens: int = SHARD_TOKENS, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """One row for each piece (SCHEMA). lengths: doc_id, n_tokens, one row for each doc_id."""
     most = max(sizes)
-    total = lengths.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = int(-(-total // shard_tokens) or 1)
+    found = lengths.where("n_tokens > 0").agg(F.sum("n_tokens"), F.sum(F.expr(f"(n_tokens - 1) div {most} + 1"))).first()
+    shards = max(1, *(int(-(-(n or 0) // each)) for n, each in zip(found, (shard_tokens, shard_pieces))))
     cuts = F.expr(f"sequence(0L, (n_tokens - 1) div {most})")
     pieces = lengths.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode(cuts).alias("piece"))
     pieces = pieces.select("doc_id", F.col("piece").cast("int").alias("piece"), (F.col("piece") * most).alias("token_start"), F.least(F.lit(most), F.col("n_tokens") - F.col("piece") * most).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
-from cartoloom.llm._spark import cut, stored, table
+from cartoloom.llm._spark import columns, cut, stored, table
 
 TAU = 16
 #: (half, shift, width) of each segment; budgets sum to TAU - 5.
@@ -144,15 +144,17 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> DataFrame:
-    """The documents without the near copies: one row of each group stays, with all its columns."""
+    """The documents without the near copies: one row of each group stays, with all its columns.
+
+    The texts are shuffled once, by doc_id: tasks keep one row of a repeated doc_id before that, and the join that follows
+    has the same partitioning. Rows without doc_id are not shuffled.
+    """
     drop = duplicates(docs).select("doc_id")
-    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
-    single = kept.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns)
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
     number = "_" + "_".join(["row", *docs.columns])  # longer than any column, hence no clash
-    return single.unionByName(several.withColumn(number, one).where(F.col(number) == 1).drop(number))
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").desc_nulls_last()))
+    known = docs.where("doc_id IS NOT NULL")
+    one = known.select("*", first.alias(number)).where(F.col(f"`{number.replace('`', '``')}`") == 1).select(*columns(docs))
+    return one.join(drop, "doc_id", "left_anti").select(*columns(docs)).union(docs.where("doc_id IS NULL").select(*columns(docs)))
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
@@ -175,13 +177,50 @@ def test_media_are_verified_and_reconstructed(spark):
     got = {x.media_id: x for x in media.verify(m).collect()}
     assert set(got) == {1, 2, 3, 4, 5, 6, 7, 8}
     assert {k: x.verified for k, x in got.items()} == {k: None if k == 4 else True for k in got}
-    assert got[3].n_chunks == got[4].n_chunks == 0 and got[2].shared_chunks >= got[2].n_chunks - 2 > 0
-    assert sum(x.stored_bytes for x in got.values()) < 9000 + 20_000
+    # brute force: chunks by a hash that rolls byte by byte, references and owners of the distinct media
+    whole = {i: max(p for j, p in payloads if j == i) for i in (1, 2, 3, 5, 6, 7, 8)}
+    cut = {i: [p[a:b] for a, b in itertools.pairwise([0, *brute_cuts(p)])] for i, p in whole.items()}
+    refs, owner = Counter(c for row in cut.values() for c in row), {}
+    for i in sorted(cut):
+        for c in cut[i]:
+            owner.setdefault(c, i)
+    for i, row in cut.items():
+        own = {c for c in row if owner[c] == i}
+        want = (len(row), sum(refs[c] > 1 for c in row), sum(map(len, own)), [hashlib.sha256(c).digest() for c in row])
+        assert (got[i].n_chunks, got[i].shared_chunks, got[i].stored_bytes, list(map(bytes, got[i].chunks))) == want
+    assert got[4].n_chunks == 0 and got[7].shared_chunks == got[7].n_chunks
     chunks = media.chunked(m.dropDuplicates(["media_id"])).select("media_id", F.explode("chunks").alias("c")).select("media_id", "c.*")
     back = {x.media_id: bytes(x.payload) for x in media.reconstruct(chunks.select("media_id", "seq", "digest"), media.chunk_store(chunks)).collect()}
     assert back == {i: p for i, p in payloads if i and p}
 
 
+def brute_cuts(data):
+    """The ends of the chunks, by one pass over the bytes."""
+    ends, at, h = [], 0, 0
+    for k, b in enumerate(data, 1):
+        h = (2 * h + int(media.GEAR[b])) % 2**32
+        if k - at >= media.LEAST and k >= 32 and h >> (32 - media.CUT_BITS) == 0 or k - at == media.MOST or k == len(data):
+            ends.append(k)
+            at = k
+    return ends
+
+
+def test_repeated_media_add_no_references(spark):
+    data = bytearray(np.random.default_rng(12).bytes(5000))
+    rows = [(1, data), (1, data), (2, bytearray(b"short")), (2, bytearray(b"much longer than that"))]
+    got = {x.media_id: x for x in media.verify(spark.createDataFrame(rows, "media_id long, payload binary")).collect()}
+    assert got[1].shared_chunks == 0 and got[1].stored_bytes == 5000 and got[1].verified
+    assert got[2].n_bytes == got[2].stored_bytes == 21 and got[2].n_chunks == 1 and got[2].verified
+
+
+def test_cut_points_are_those_of_a_rolling_hash():
+    r = np.random.default_rng(13)
+    texts = [r.bytes(30_000), b"", b"\0" * 20_000, r.bytes(31), b"ab" * 9_000, r.bytes(media.MOST + 1)]
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = media.cut_points(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    assert [[e - o for e in row] for row, o in zip(got, offsets.tolist())] == list(map(brute_cuts, texts))
+
+
 def test_chunks_follow_the_content():
     r = np.random.default_rng(5)
     a = np.frombuffer(r.bytes(60_000), np.uint8)
@@ -195,11 +234,7 @@ def test_chunks_follow_the_content():
 
 
 def test_damaged_chunks_are_noticed(spark):
-    rows = [(b"d" * 32, b"\x28\xb5\x2f\xfd\x04\x00\x29\x00\x00", 1)]
-    import zstandard
-
-    rows = [(b"d" * 32, zstandard.compress(b"other bytes"), 1)]
-    df = spark.createDataFrame([(bytearray(a), bytearray(b), c) for a, b, c in rows], "digest binary, payload binary, refs long")
+    df = spark.createDataFrame([(bytearray(b"d" * 32), bytearray(zstandard.compress(b"other bytes")))], "digest binary, payload binary")
     assert not media._checked(df).first().intact
 
 
@@ -315,6 +350,20 @@ def test_empty_and_scarce_sources_leave_the_others_alone(spark, tmp_path):
     assert {x.source: x.n_tokens > 0 for x in mixing.mix(no_tokens).collect()} == {"src0": True, "src4": False}
 
 
+def test_documents_alike_are_ranked_in_buckets(spark):
+    """Any bucket size takes as many of each source and length, and those that come first by the seeded hash."""
+    rows = [(k, None if k % 3 == 0 else "s", 7 if k % 4 else 9) for k in range(400)]
+    lengths = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long")
+    takes = spark.createDataFrame([(None, 7, 40, 100), ("s", 7, 200, 200), ("s", 9, 1, 66)], "source string, n_tokens long, take long, docs long")
+    order = {r.doc_id: r.h for r in lengths.select("doc_id", F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(5)), 1).alias("h")).collect()}
+    want = set()
+    for s, n, k, _ in takes.collect():
+        want |= {*sorted((d for d, a, b in rows if (a, b) == (s, n)), key=order.get)[:k]}
+    for size in (1 << 16, 10, 1):
+        got = [r.doc_id for r in mixing.taken(lengths, takes, 5, size).collect()]
+        assert len(got) == len(want) == 241 and {*got} == want
+
+
 def test_mixed_documents_keep_their_columns(spark):
     rows = [(1, "one two three"), (1, "one two three"), (2, None), (3, ""), (None, "x y"), (4, "a " * 3000)]
     df = documents(spark, rows)
