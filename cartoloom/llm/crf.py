@@ -72,8 +72,15 @@ def fit(features: np.ndarray, gold: np.ndarray, mask: np.ndarray, size: int, lab
 
 def viterbi(score: np.ndarray, mask: np.ndarray, step: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The best labels of padded sequences; ties go to the lower label."""
+    best, came = advance(score, mask, step, np.broadcast_to(first, (len(score), len(first))))
+    return trace(came, best.argmax(1))
+
+
+def advance(score: np.ndarray, mask: np.ndarray, step: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The best score that ends in each label, and the label before it at each token. begin[n, k]: what label k has before
+    the first token's score. Padding passes labels on."""
     n, length, k = score.shape
-    best = first + score[:, 0]
+    best = begin + score[:, 0]
     came = np.zeros((n, length, k), np.int8)
     for t in range(1, length):
         through = best[:, :, None] + step
@@ -81,8 +88,23 @@ def viterbi(score: np.ndarray, mask: np.ndarray, step: np.ndarray, first: np.nda
         new = through.max(1) + score[:, t]
         came[:, t][~mask[:, t]] = np.arange(k)
         best = np.where(mask[:, t, None], new, best)
+    return best, came
+
+
+def trace(came: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The labels of the paths that end in the labels last."""
+    n, length, _ = came.shape
     out = np.zeros((n, length), np.int8)
-    out[:, -1] = best.argmax(1)
+    out[:, -1] = last
     for t in range(length - 1, 0, -1):
         out[:, t - 1] = np.take_along_axis(came[:, t], out[:, t, None].astype(np.int64), 1)[:, 0]
     return out
+
+
+def through(score: np.ndarray, mask: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """[n, j, k]: the best score of a block that is entered from label j and left with label k."""
+    best = step[None] + score[:, 0, None, :]
+    for t in range(1, score.shape[1]):
+        new = (best[:, :, :, None] + step).max(2) + score[:, t, None, :]
+        best = np.where(mask[:, t, None, None], new, best)
+    return best

@@ -8,7 +8,12 @@ two neighbours, so nothing is learnt by heart but a few cue words.
 Decoding is exact Viterbi in numpy batches. A token is plain if neither it nor a neighbour has a digit or one of the signs
 @ = " '; all plain tokens have the same features, and where the field prefers "outside" for them by more than any change
 of the two transitions at a token can win back, every best path labels them so. Only the runs between them need the
-recursion; where that bound doesn't hold for a fitted field, whole texts are decoded.
+recursion; where that bound doesn't hold for a fitted field, whole texts are decoded. Runs are decoded in blocks of BLOCK
+tokens, CELLS tokens at a time: what a block does to the best scores is a matrix, so the scores at the borders of a long run's
+blocks follow from one matrix each, and memory beyond six bytes a token doesn't grow with a run.
+
+A token's shape, runs and digits are classes: all shapes that begin with the same 24 signs are one class, and all tokens of 20
+digits or more are one. Spans, redaction and the other features go by whole tokens.
 
 Null and empty texts have no spans; redaction leaves null null. Spans are character offsets of the text, trimmed of
 punctuation, in text order, and neighbours with one label are one span. Every row is decoded on its own: null ids, repeated
@@ -29,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cartoloom.llm import _text as T
 from cartoloom.llm import crf
-from cartoloom.llm._spark import table
+from cartoloom.llm._spark import mapped, table
 
 LABELS = ("O", "EMAIL", "PHONE", "NUMBER", "IP", "SECRET")
 BITS = 12
@@ -53,7 +58,10 @@ def shape(token: str) -> str:
     return re.sub(r"([^9])\1+", r"\1", s)[:24]
 
 
-@functools.lru_cache(200_000)
+#: Longer tokens aren't remembered, which bounds the memory by bytes.
+REMEMBERED = 64
+
+
 def _own(token: str) -> tuple[str, ...]:
     core = token.strip(_TRIM)
     digits, letters = sum(c.isdigit() for c in core), sum(c.isalpha() for c in core)
@@ -73,25 +81,28 @@ def _own(token: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-@functools.lru_cache(400_000)
-def _ids(token: str, place: str) -> tuple[int, ...]:
-    """The hashed features of a token as itself (empty place) or as a neighbour (- or +)."""
-    own = _own(token) if not place else _own(token)[1:4]
-    return tuple(_bucket(place + f) for f in own)
+def _hashed(token: str) -> tuple[tuple[int, ...], ...]:
+    """The hashed features of a token as itself, and as a neighbour before and after."""
+    own = _own(token)
+    return tuple(tuple(_bucket(place + f) for f in (own[1:4] if place else own)) for place in ("", "-", "+"))
+
+
+_remembered = functools.lru_cache(100_000)(_hashed)
+
+
+def _ids(token: str) -> tuple[tuple[int, ...], ...]:
+    return _remembered(token) if len(token) <= REMEMBERED else _hashed(token)
 
 
 PLAIN = "a"
 WIDTH = 14
+BLOCK, CELLS = 256, 50_000
 
 
-def feature_rows(tokens: list[str]) -> list[list[int]]:
-    """Feature ids of each token of a run; beyond its ends are plain tokens."""
-    rows = []
-    for i, token in enumerate(tokens):
-        before = tokens[i - 1] if i else PLAIN
-        after = tokens[i + 1] if i + 1 < len(tokens) else PLAIN
-        rows.append([*_ids(token, ""), *_ids(before, "-"), *_ids(after, "+")])
-    return rows
+def feature_rows(tokens: list[str], before: str = PLAIN, after: str = PLAIN) -> list[list[int]]:
+    """Feature ids of each token of a block; at the ends of a run are plain tokens."""
+    found = [_ids(t) for t in (before, *tokens, after)]
+    return [[*own[0], *left[1], *right[2]] for left, own, right in zip(found, found[1:], found[2:])]
 
 
 def plain(token: str) -> str:
@@ -190,6 +201,64 @@ def fitted(seed: int = 11, rows: int = 600) -> Field:
     return Field(model, bool(e[0] - e[1:].max() > win))
 
 
+def decoded(data: np.ndarray, start: np.ndarray, end: np.ndarray, breaks: np.ndarray, sizes: np.ndarray, model: crf.Crf) -> np.ndarray:
+    """The best labels of the tokens data[start:end]; breaks and sizes are the runs."""
+    found, step = np.zeros(len(start), np.int8), model.step
+    blocks = -(-sizes // BLOCK)
+    head = np.cumsum(blocks) - blocks  # the first block of each run
+    run = np.repeat(np.arange(len(sizes)), blocks)
+    nth = np.arange(len(run)) - head[run]
+    begin = breaks[run] + nth * BLOCK
+    length = np.minimum(BLOCK, sizes[run] - nth * BLOCK)
+
+    def token(i: int) -> str:
+        return plain(data[start[i] : end[i]].tobytes().decode("utf-8", "replace"))
+
+    def groups(of: np.ndarray):
+        """(blocks, scores, mask) of blocks of like length, about CELLS tokens at once."""
+        of = of[np.argsort(length[of], kind="stable")]
+        ends = np.cumsum(length[of]) // CELLS
+        for part in np.split(of, np.flatnonzero(np.diff(ends)) + 1) if len(of) else []:
+            rows = []
+            for b in part.tolist():
+                lo, hi = int(begin[b]), int(begin[b] + length[b])
+                left, right = breaks[run[b]] < lo, hi < breaks[run[b]] + sizes[run[b]]
+                rows.append(feature_rows([token(i) for i in range(lo, hi)], token(lo - 1) if left else PLAIN, token(hi) if right else PLAIN))
+            features, mask = padded(rows)
+            yield part, scores(model, features), mask
+
+    many = blocks[run] > 1
+    for part, score, mask in groups(np.flatnonzero(~many)):
+        for b, labels in zip(part.tolist(), crf.viterbi(score, mask, step, model.first)):
+            found[begin[b] : begin[b] + length[b]] = labels[: length[b]]
+    if not many.any():
+        return found
+    k = model.labels
+    matrix, enter = np.zeros((len(run), k, k)), np.zeros((len(run), k))
+    for part, score, mask in groups(np.flatnonzero(many)):
+        matrix[part] = crf.through(score, mask, step)
+        heads = nth[part] == 0
+        matrix[part[heads], 0] = crf.advance(score[heads], mask[heads], step, np.broadcast_to(model.first, (int(heads.sum()), k)))[0]
+    for b in np.flatnonzero(many & (nth > 0)).tolist():  # enter: the best scores before a block, less their largest
+        one = matrix[b - 1, 0] if nth[b] == 1 else (enter[b - 1][:, None] + matrix[b - 1]).max(0)
+        enter[b] = one - one.max()
+    moved = enter[:, :, None] + step  # into a block's first token
+    came, last = {}, {}
+    for part, score, mask in groups(np.flatnonzero(many)):
+        into = np.where((nth[part] == 0)[:, None], model.first, moved[part].max(1))
+        best, back = crf.advance(score, mask, step, into)
+        for i, b in enumerate(part.tolist()):
+            came[b] = back[i, : length[b]].copy()
+            last[b] = int(best[i].argmax())
+    for r in np.flatnonzero(blocks > 1).tolist():
+        label = last[head[r] + blocks[r] - 1]
+        for b in range(int(head[r] + blocks[r] - 1), int(head[r]) - 1, -1):
+            labels = crf.trace(came.pop(b)[None], np.array([label]))[0]
+            found[begin[b] : begin[b] + length[b]] = labels
+            label = int(moved[b][:, labels[0]].argmax())
+    return found
+
+
 @dataclass
 class Spans:
     row: np.ndarray
@@ -220,23 +289,7 @@ def find(texts: pa.Array, field: Field) -> tuple[Spans, np.ndarray, np.ndarray]:
         return Spans(none, none, none, none), data, offsets
     breaks = np.flatnonzero(np.r_[True, (np.diff(at) > 1) | (row[at[1:]] != row[at[:-1]])])
     sizes = np.diff(np.r_[breaks, len(at)])
-    found = np.zeros(len(at), np.int8)
-    order = np.argsort(sizes, kind="stable")
-    for lo in range(0, len(order), 4096):
-        group = order[lo : lo + 4096]
-        cells = 0
-        part: list[int] = []
-        for g in [*group.tolist(), -1]:  # runs of like length together, at most so many cells at once
-            if part and (g < 0 or cells + sizes[g] > 200_000):
-                token_rows = [[data[start[i] : end[i]].tobytes().decode("utf-8", "replace") for i in at[breaks[p] : breaks[p] + sizes[p]]] for p in part]
-                features, mask = padded([feature_rows([plain(t) for t in tokens]) for tokens in token_rows])
-                best = crf.viterbi(scores(field.model, features), mask, field.model.step, field.model.first)
-                for p, labels in zip(part, best):
-                    found[breaks[p] : breaks[p] + sizes[p]] = labels[: sizes[p]]
-                part, cells = [], 0
-            if g >= 0:
-                part.append(g)
-                cells += int(sizes[g])
+    found = decoded(data, start[at], end[at], breaks, sizes, field.model)
     hit = np.flatnonzero(found)
     if len(hit) == 0:
         return Spans(none, none, none, none), data, offsets
@@ -306,7 +359,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> D
                     piece = pa.RecordBatch.from_arrays(columns, schema=piece.schema)
                 yield piece
 
-    return docs.mapInArrow(run, docs.schema)
+    return mapped(docs, run)
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

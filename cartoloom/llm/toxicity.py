@@ -6,7 +6,8 @@ documents (the lesser of the documents and of the different pairs of neighbours
 copies of one passage count often) must be ODDS times what the count in clean documents and the share of toxic ones let
 expect, and too large for chance at level ALPHA over all tested. The field's features are the lower-cased word and those
 beginnings (for inflected words), each by two independent hashes, so that a clean word passes for a toxic one only if both
-collide; its transitions carry the spans.
+collide; its transitions carry the spans. It is fitted on at most WINDOWS windows of WINDOW tokens of each kind: around toxic
+tokens, around clean ones that begin like them, and around any clean ones; a window never crosses a document's border.
 
 Every token of every text then gets its marginal probability of being toxic from an exact forward-backward pass, run over
 all texts of a batch at once, on the odds, in blocks of BLOCK tokens. A document's score is its largest marginal; expected is the sum
@@ -41,7 +42,7 @@ BITS = 18
 SIZE = 1 << BITS
 PREFIXES = (4, 5, 6)
 FEATURES = 2 * SIZE * (1 + len(PREFIXES))
-WINDOW = 8
+WINDOW, WINDOWS = 8, 1500
 #: Tokens that the forward-backward recursion takes one after another.
 BLOCK = 256
 
@@ -206,28 +207,30 @@ def labelled_tokens(texts: pa.Array, y: np.ndarray) -> tuple[np.ndarray, np.ndar
     return u, d, tags & (y[d] == 1)
 
 
-def fit(texts: pa.Array, y: np.ndarray, windows: int = 1500, seed: int = 5) -> Model:
-    """y: 1 toxic, 0 clean, for each text. The field is fitted on windows of labelled tokens: around toxic tokens, around
-    clean ones that begin like them, and anywhere."""
+def fit(texts: pa.Array, y: np.ndarray, windows: int = WINDOWS, seed: int = 5) -> Model:
+    """y: 1 toxic, 0 clean, for each text. Without a toxic token the model has no weights."""
     texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
     nothing = Model(np.zeros(FEATURES + 1), np.zeros((2, 2)), np.zeros(2))
     if len(y) == 0:
         return nothing
     single = no_copies(texts)
     y = y[single]
-    u, _, tags = labelled_tokens(texts.take(pa.array(single, pa.int64())), y)
-    if not tags.any() or len(tags) < WINDOW:
+    u, doc, tags = labelled_tokens(texts.take(pa.array(single, pa.int64())), y)
+    if not tags.any():
         return nothing
     r = np.random.default_rng(seed)
     alike = np.isin(u[:, 1], u[tags, 1]) & (u[:, 1] != 0) & ~tags
     centres = [r.permutation(np.flatnonzero(x))[:windows] for x in (tags, alike, ~tags)]
-    start = np.concatenate(centres)
-    start = np.clip(start - r.integers(0, WINDOW, len(start)), 0, len(tags) - WINDOW)
+    centre = np.concatenate(centres)
+    low, high = np.searchsorted(doc, doc[centre]), np.searchsorted(doc, doc[centre], "right")
+    start = np.maximum(low, np.minimum(centre - r.integers(0, WINDOW, len(centre)), high - WINDOW))
     span = start[:, None] + np.arange(WINDOW)
+    mask = span < high[:, None]
+    span = np.where(mask, span, start[:, None])
     f, g = _feature(u[span]), tags[span].astype(np.int64)
     ids, back = np.unique(f, return_inverse=True)  # the fit works on the features that occur
     back = np.where(f == FEATURES, -1, back.reshape(f.shape))
-    model = crf.fit(back, g, np.ones(g.shape, bool), len(ids), 2, steps=60, rate=0.3, l2=1e-4)
+    model = crf.fit(back, g, mask, len(ids), 2, steps=60, rate=0.3, l2=1e-4)
     weight = np.zeros(FEATURES + 1)
     weight[ids] = model.emission[:, 1] - model.emission[:, 0]
     weight[FEATURES] = 0

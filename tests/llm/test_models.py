@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import itertools
+import resource
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +12,7 @@ import pytest
 
 from cartoloom.llm import _text as T
 from cartoloom.llm import crf, fm, pii, quality, toxicity
-from cartoloom.llm._features import Sparse, labelled
+from cartoloom.llm._features import Sparse, sample, sigmoid
 from cartoloom.llm._spark import table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, score string, spans string, keep string"
@@ -23,6 +25,10 @@ def documents(spark, rows):
 ODD = [(1, None), (2, ""), (3, "one"), (None, "two words"), (None, None), (4, "same"), (4, "same"), (5, "very long " * 30_000), (6, "\x00\x01   🎉")]
 
 
+def labelled(*args, **named):
+    return sample(*args, **named).orderBy("doc_id").toArrow()
+
+
 def held_out(spark, small, label, columns=()):
     """Labelled rows of a larger table, split by number: (fit, test)."""
     rows = labelled(spark, small.replace("0.001", "0.01"), label, 10_000, columns=columns)
@@ -123,6 +129,41 @@ def test_quality_logit_is_that_of_its_features():
     np.testing.assert_allclose(model.logit(texts), quality.features(texts).dot(model.weights) + 0.25, atol=1e-9)
 
 
+def test_quality_features_are_those_of_a_naive_count():
+    """Words, pairs and byte sequences counted one by one, hashed by the same functions one value at a time."""
+    text = "the cat the cat saw ü  saw saw, The end"
+    words = ["the", "cat", "the", "cat", "saw", "ü", "saw", "saw", "the", "end"]
+    h = [T.word_hash(x) for x in words]
+    want = Counter()
+    for x in h:
+        want[x % quality.SIZE] += 1 / len(h)
+    for a, b in itertools.pairwise(h):
+        pair = 0 if a == b else int(T.mix(np.array([(a * 3 + b) % 2**64], T.U))[0])
+        want[pair % quality.SIZE + quality.SIZE] += 1 / (len(h) - 1)
+    data = text.encode()
+    for k in range(len(data) - 3):
+        want[(int.from_bytes(data[k : k + 4], "little") * 2654435761 % 2**32 >> 32 - quality.BITS) + 2 * quality.SIZE] += 1 / (len(data) - 3)
+    got = quality.features(pa.array(["other words", text]))
+    lo, hi = got.offsets[1:3]
+    assert dict(zip(got.index[lo:hi].tolist(), got.value[lo:hi])) == {k: pytest.approx(v * quality.SCALE) for k, v in want.items()}
+
+
+def test_calibration_is_the_best_sigmoid():
+    """Platt's slope and shift against a search over a grid."""
+    r = np.random.default_rng(6)
+    y = (r.random(300) < 0.6).astype(float)
+    z = 2 * y - 1 + r.normal(0, 1, 300)
+    goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
+
+    def loss(a, b):
+        p = sigmoid(a * z + b)
+        return -(goal * np.log(p) + (1 - goal) * np.log(1 - p)).sum() + 5e-4 * ((a - 1) ** 2 + b**2)
+
+    a, b = quality.platt(z, y)
+    best = min((loss(a + da, b + db), da, db) for da in np.linspace(-0.5, 0.5, 21) for db in np.linspace(-0.5, 0.5, 21))
+    assert best[1:] == (pytest.approx(0), pytest.approx(0))
+
+
 def test_quality_edge_cases(spark, small):
     texts, y = pa.array(["good words here", "bad"] * 20), np.array([1.0, 0.0] * 20)
     model = quality.fit(texts, y)
@@ -180,6 +221,32 @@ def test_skipping_plain_tokens_changes_nothing(spark, small):
         assert a.start.tolist() == b.start.tolist() and a.end.tolist() == b.end.tolist() and a.label.tolist() == b.label.tolist()
 
 
+def test_long_runs_are_decoded_exactly():
+    """Blocks against one recursion over the whole run."""
+    field = pii.fitted()
+    r = np.random.default_rng(8)
+    tokens = [t for s in pii.labelled_rows(seed=5, rows=200) for t, k in s if k or any(c.isdigit() for c in t)]
+    tokens = [tokens[i] for i in r.permutation(len(tokens))]
+    assert len(tokens) > 2 * pii.BLOCK
+    features, mask = pii.padded([pii.feature_rows([pii.plain(t) for t in tokens])])
+    want = crf.viterbi(pii.scores(field.model, features), mask, field.model.step, field.model.first)[0]
+    data = " ".join(tokens).encode()
+    ends = np.cumsum([len(t.encode()) + 1 for t in tokens]) - 1
+    starts = ends - [len(t.encode()) for t in tokens]
+    for n in (len(tokens), 2 * pii.BLOCK, pii.BLOCK + 1):
+        got = pii.decoded(np.frombuffer(data, np.uint8), starts[:n], ends[:n], np.array([0]), np.array([n]), field.model)
+        if n == len(tokens):
+            assert got.tolist() == want.tolist()
+        assert len(got) == n and len({*got.tolist()}) > 1
+
+
+def test_a_long_text_of_numbers_takes_bounded_memory():
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    spans, _, _ = pii.find(pa.array(["12 " * 1_000_000 + "call +1 (555) 123-4567 now"]), pii.fitted())
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000  # KB
+    assert len(spans.row) >= 1 and pii.LABELS[spans.label[-1]] == "PHONE"
+
+
 def test_pii_of_fresh_sentences():
     field, good, total, wrong = pii.fitted(), 0, 0, 0
     for sentence in pii.labelled_rows(seed=77, rows=300):
@@ -221,9 +288,16 @@ def test_pii_edge_cases(spark):
     assert pii.redact(spark, documents(spark, [])).count() == 0
 
 
+def test_toxicity_windows_stay_in_their_documents():
+    """Documents shorter than a window fit, and a field of few tokens is no special case."""
+    texts = pa.array(["vile slur here", "kind words here", "vile slur there", "kind thoughts"] * 3)
+    model = toxicity.fit(texts, np.array([1, 0, 1, 0] * 3))
+    assert np.isfinite(model.weight).all() and np.isfinite(model.step).all()
+
+
 def test_labelled_takes_the_largest_label_and_bounds(spark, tmp_path):
     spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, None, 1), (None, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (3, None), (4, "d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "a"), (1, "Z"), (1, None), (2, "b"), (3, None), (4, "d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = labelled(spark, str(tmp_path), "quality", 10)
     assert got.select(["doc_id", "label", "text"]).to_pylist() == [{"doc_id": 1, "label": 1, "text": "a"}, {"doc_id": 3, "label": 0, "text": None}]
     assert labelled(spark, str(tmp_path), "quality", 1).num_rows == 1
