@@ -1,33 +1,37 @@
 """Stupid-backoff trigram scores of every document, from counts over the whole table.
 
-For the word w after u v (two begin marks before the first word) the score is log c(u v w) / c(v... u v) if the trigram was
-counted at least LEAST times, else log ALPHA + log c(v w) / c(v). With unigrams, that holds for pairs counted at least LEAST
-times, and for the others the score is 2 log ALPHA + log c(w) / N, where N is the number of all words. Every pair of a scored
-document is counted (documents score themselves as part of the corpus), so without unigrams, words that occur nowhere else
-score as if they were expected. op3_backoff_to_unigrams has all three levels; op3_stupid_backoff stops at pairs, as its SQL
-does. A document's score is the sum over its words; perplexity is exp(-score / n_words).
-
-Relationally: each position is exploded into one row that stands at its pair (v w), with the word before and the word after.
-The rows are partitioned by the hash of v. A partition then holds all that its rows need: the counts of its pairs, of the
-trigrams that end with its pairs, of the trigrams that begin with them (whether the next word backs off) and of v. So the
-count tables are built and joined in the one shuffle that partitions them, and the sums per document follow by a second one.
-The rows of a batch that go to one partition travel as one binary, in columns of codes. Words that are too common for one partition
-(those with more than 1 / (SPREAD * partitions) of the positions; at most SPREAD * partitions words, so their counts are a
-table of bounded size beside each task) are spread by the hash of the pair instead.
-
-The counts of the TOP commonest words are a table beside each task. Pairs counted less than LEAST times that end with another
-word leave the partition as rows (doc_id, w, times), which are joined to the counts of all words.
-
-Words are those of _text (lower-cased runs of word characters); distinct words are told apart by 64-bit hashes, of which
-40 bits travel for each of the four words. Null texts, empty texts and texts without a word have n_words 0, score 0 and a
-null perplexity. Rows without doc_id are left out. Rows that repeat a doc_id all count for the corpus, and their scores
-and words add up. An empty table gives no rows. Other columns are never looked at.
+For the word w after u v (two begin marks before the first word) the score is log c(u v w) / c(u v) if the trigram was counted
+at least LEAST times, else log ALPHA + log c(v w) / c(v .) if the pair was, else 2 log ALPHA + log c(w) / N, where c(v .) is how
+many pairs v begins and N is the number of all words. (Every n-gram of a scored document is counted once by the document
+itself; LEAST leaves that count out.) A document's score is the sum over its words; perplexity is exp(-score / n_words).
+
+The tables of counts, each by the 64-bit hash of its n-gram:
+
+* Words: a table in the shared folder. Those that begin the most pairs, at most TOP, are also broadcast (2 MB) and get codes.
+* Pairs and trigrams of the DENSE commonest words: at most DENSE^2 + DENSE^3 counts, broadcast. No other n-gram can hold more
+  than 1 / DENSE of all positions, however skewed the corpus is.
+* All other pairs and trigrams. Each position becomes a row (u, v, w, next word) that is sent to the partition of its pair (of
+  the word v, where v has no code, so that c(v .) is complete there). The counts of the pair, of the trigrams that end with it
+  and of those that begin with it (does the next word back off?) are then made and joined to the rows in that one place.
+
+A position of a dense pair isn't sent by its pair: what isn't known from the broadcast counts goes as two half rows, by the
+trigram that ends with the pair and by the one that begins with it. Pairs counted less than LEAST times whose word has no code
+leave their partition as rows (doc_id, w, times), which an equi-join with the table of words completes.
+
+The rows of one document batch (PIECE_BYTES of text) for one partition travel as one compressed binary with codes and a list
+of the other words' hashes. There are never more binaries than positions; they hold some thousand positions up to 30 GB of
+text and fewer beyond, as the number of partitions grows with the text (PARTITION_BYTES) and batches don't.
+
+Words are those of _text (lower-cased runs of word characters), told apart by 64-bit hashes. Null texts, empty texts and texts
+without a word have n_words 0, score 0 and a null perplexity. Rows without doc_id are left out. Rows that repeat a doc_id all
+count for the corpus, and their scores and words add up. An empty table gives no rows. Other columns are never looked at.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,20 +41,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
-from cartoloom.llm._spark import cut, stored, table
+from cartoloom.llm._spark import stored, table
 
 ALPHA, LEAST = 0.4, 2
-SPREAD = 8
-#: Words whose counts are broadcast (16 bytes each).
-TOP = 1 << 18
+#: Words with codes, and those whose pairs and trigrams are counted beforehand.
+TOP, DENSE = 65_000, 64
 #: Bytes of text for each partition of the rows, and for each set of binaries that a task sends.
 PARTITION_BYTES, PIECE_BYTES = 8 << 20, 16 << 20
-BITS = 40
-MASK = T.U((1 << BITS) - 1)
-BEGIN, END = T.U(1), T.U(2)
+#: Codes: the marks, then the words from the commonest on; a word is its code, or its hash, which is RARE at least.
+BEGIN, END, RARE = 0, 1, 1 << 16
+FULL, ENDS, BEGINS = 0, 1, 2
 
 
-def _around(h: np.ndarray, row: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word."""
+    w = T.words(texts)
+    return np.where(w.hash < RARE, w.hash + T.U(RARE), w.hash), w.row.astype(np.int32)
+
+
+def around(h: np.ndarray, row: np.ndarray, begin: int, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each word: the second before it, the one before it, and the one after; begin and end stand beyond the row."""
     n = len(h)
     second, before, after = (np.full(n, x, h.dtype) for x in (begin, begin, end))
@@ -63,109 +72,209 @@ def _around(h: np.ndarray, row: np.ndarray, begin: int, end: int) -> tuple[np.nd
     return second, before, after
 
 
-def pack_columns(columns: list[np.ndarray], numbers: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
-    """Columns of indexes of 40-bit numbers: the distinct ones, the commonest first, and two bytes (or four) for each index."""
-    distinct, back, n = np.unique(np.concatenate(columns), return_inverse=True, return_counts=True)
-    order = np.argsort(-n, kind="stable")
-    rank = np.empty(len(distinct), np.int64)
-    rank[order] = np.arange(len(distinct))
-    width = 2 if len(distinct) <= 1 << 16 else 4
-    planes = rank[back].astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    listed = numbers[distinct[order]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, : BITS // 8].tobytes()
-    return np.array([len(distinct), width], "<u4").tobytes() + listed + squeeze.compress(planes)
+@dataclass
+class Known:
+    """The broadcast counts. hashes (sorted) and codes of the words that have one; by code how many pairs a word begins (n) and
+    how often it occurs (m); counts of the dense pairs and trigrams; number of words."""
 
+    hashes: np.ndarray
+    codes: np.ndarray
+    n: np.ndarray
+    m: np.ndarray
+    total: int = 0
+    pairs: np.ndarray | None = None
+    trigrams: np.ndarray | None = None
 
-def pack_owners(ids: np.ndarray, sizes: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
-    """Differences of the ids and the sizes, by bytes of like place."""
-    planes = [x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in (np.diff(ids, prepend=0), sizes)]
-    return squeeze.compress(b"".join(planes))
+    @property
+    def dense(self) -> int:
+        return len(self.pairs)
 
+    def coded(self, hashes: np.ndarray) -> np.ndarray:
+        """The code of each hash, or the hash."""
+        if len(self.hashes) == 0:
+            return hashes
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.codes[at], hashes)
 
-def unpack_owners(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(2, 8, -1)
-    steps, sizes = (np.ascontiguousarray(x.T).view("<i8").ravel() for x in planes)
-    return np.cumsum(steps), sizes
+    def of(self, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """counts by code; 1 for a word without one."""
+        return np.where(values < RARE, counts[np.minimum(values, RARE - 1).astype(np.int64)], 1)
 
+    def ending(self, c3: np.ndarray, c2: np.ndarray, c1: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """What the word w adds, but for the count of the pair before it; a word without code counts as 1 in c(w)."""
+        hit = np.log(np.maximum(c3, 1)) - np.where(v == BEGIN, np.log(max(1, self.n[BEGIN])), 0.0)
+        pair = np.log(ALPHA) + np.log(np.maximum(c2, 1)) - np.log(np.maximum(c1, 1))
+        one = 2 * np.log(ALPHA) + np.log(np.maximum(self.of(w, self.m), 1)) - np.log(max(1, self.total))
+        return np.where(c3 >= LEAST, hit, np.where(c2 >= LEAST, pair, one))
 
-def unpack_columns(data: bytes, columns: int) -> list[np.ndarray]:
-    distinct, width = np.frombuffer(data[:8], "<u4").tolist()
-    numbers = np.zeros((distinct, 8), np.uint8)
-    end = 8 + distinct * (BITS // 8)
-    numbers[:, : BITS // 8] = np.frombuffer(data[8:end], np.uint8).reshape(distinct, BITS // 8)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[end:]), np.uint8).reshape(width, -1)
-    rank = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
-    return np.split(numbers.view("<u8").ravel()[rank], columns)
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(v, n, m) of the words and the begin mark: how many pairs each begins, how often it occurs. Exact."""
 
-def word_counts(docs: DataFrame, unigrams: bool = False) -> DataFrame:
-    """(v, n) of the words and the begin mark: how many pairs each begins; with unigrams also m, how often each occurs. Exact."""
-    names = ["n", "m"] if unigrams else ["n"]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in T.pieces(batch, "text", 1 << 22):
+                found, rows, base = [], [], 0
+                for small in T.pieces(piece, "text", 1 << 20):
+                    h, row = hashes_of(small.column(0))
+                    found.append(h)
+                    rows.append(row + base)
+                    base += small.num_rows
+                at, words = pd.factorize(np.concatenate(found))
+                before = around(at, np.concatenate(rows), len(words), len(words))[1]
+                n, m = np.bincount(before, minlength=len(words) + 1), np.bincount(at, minlength=len(words) + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(words, T.U(BEGIN)).view(np.int64)), pa.array(n), pa.array(m)], ["v", "n", "m"])
+
+    counts = docs.select("text").mapInArrow(run, "v long, n long, m long")
+    return stored(counts.groupBy("v").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
+
+
+def common_words(counts: DataFrame, top: int = TOP) -> Known:
+    """The words that begin the most pairs, at most top: all of at least a number of pairs that a histogram (64 steps to a
+    doubling, so some 4,000 rows) shows to leave no more than top."""
+    words = counts.where(f"v <> {BEGIN} AND n > 0").withColumn("step", F.floor(F.log2("n") * 64).cast("int"))
+    least, seen = 1 << 30, 0
+    for r in words.groupBy("step").count().orderBy(F.desc("step")).toLocalIterator():
+        seen += r["count"]
+        if seen > top:
+            break
+        least = r["step"]
+    rows = words.where(F.col("step") >= least).select("v", "n", "m").toArrow()  # at most top rows
+    v, n, m = (rows.column(c).to_numpy() for c in ("v", "n", "m"))
+    order = np.lexsort((v, -n))
+    codes = np.empty(len(v), np.uint64)
+    codes[order] = np.arange(len(v)) + 2
+    by_hash = np.argsort(v.view(T.U))
+    whole = counts.agg(F.sum("m"), F.sum(F.when(F.col("v") == BEGIN, F.col("n")))).first()
+    known = Known(v.view(T.U)[by_hash], codes[by_hash], np.zeros(RARE, np.int64), np.zeros(RARE, np.int64), int(whole[0] or 0))
+    known.n[codes.astype(np.int64)], known.m[codes.astype(np.int64)] = n, m
+    known.n[BEGIN] = whole[1] or 0
+    return known
+
+
+def dense_counts(docs: DataFrame, known: Known, dense: int = DENSE) -> Known:
+    """known with the counts of the pairs and trigrams whose words all have codes below dense."""
+    few = known.codes < dense
+    shared = docs.sparkSession.sparkContext.broadcast(Known(known.hashes[few], known.codes[few], known.n[:0], known.m[:0]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, counts = np.zeros(0, T.U), [np.zeros(0, np.int64) for _ in names]
+        total = np.zeros(dense**2 + dense**3, np.int64)
         for batch in batches:
             for piece in T.pieces(batch, "text", 1 << 20):
-                w = T.words(piece.column(0))
-                h = w.hash & MASK
-                found = [np.unique(x, return_counts=True) for x in [_around(h, w.row, BEGIN, END)[1], h][: len(names)]]
-                before = len(ids)
-                ids, back = np.unique(np.concatenate([ids, *(x for x, _ in found)]), return_inverse=True)
-                at, start = [], before
-                for x, _ in found:
-                    at.append(back[start : start + len(x)])
-                    start += len(x)
-                counts = [np.bincount(np.concatenate([back[:before], i]), np.concatenate([c, n]), len(ids)).astype(np.int64) for c, i, (_, n) in zip(counts, at, found)]
-        yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), *map(pa.array, counts)], ["v", *names])
+                h, row = hashes_of(piece.column(0))
+                w = np.minimum(shared.value.coded(h), T.U(dense)).astype(np.int64)
+                s, v, _ = around(w, row, BEGIN, END)
+                two = np.flatnonzero((v < dense) & (w < dense))
+                pair = v[two] * dense + w[two]
+                three = s[two] < dense
+                total[: dense**2] += np.bincount(pair, minlength=dense**2)
+                total[dense**2 :] += np.bincount(s[two][three] * dense**2 + pair[three], minlength=dense**3)
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["at", "n"])
+
+    found = docs.select("text").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # at most dense^2 + dense^3 rows
+    counts = np.zeros(dense**2 + dense**3, np.int64)
+    counts[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    known.pairs, known.trigrams = counts[: dense**2].reshape(dense, dense), counts[dense**2 :].reshape(dense, dense, dense)
+    return known
+
+
+def pack(columns: list[np.ndarray], values: np.ndarray, kinds: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
+    """Columns of indexes of values: the distinct values, the commonest first, as two bytes (a code) or eight (a hash), and two
+    bytes (or four) for each index. kinds: how many rows there are of each kind."""
+    at, distinct = pd.factorize(np.concatenate(columns))
+    order = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
+    rank = np.empty(len(distinct), np.int64)
+    rank[order] = np.arange(len(distinct))
+    width = 2 if len(distinct) <= 1 << 16 else 4
+    planes = rank[at].astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    listed = values[distinct[order]]
+    rare = listed >= RARE
+    head = np.array([len(distinct), int(rare.sum()), width, *kinds], "<u4").tobytes()
+    return head + np.packbits(rare).tobytes() + listed[~rare].astype("<u2").tobytes() + listed[rare].astype("<u8").tobytes() + squeeze.compress(planes)
+
+
+def unpack(data: bytes, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(kind of each row, the columns of values)."""
+    distinct, n, width, *kinds = np.frombuffer(data, "<u4", 6).tolist()
+    bits, at = -(-distinct // 8), 24
+    rare = np.unpackbits(np.frombuffer(data, np.uint8, bits, at), count=distinct).astype(bool)
+    listed, at = np.empty(distinct, T.U), at + bits
+    listed[~rare] = np.frombuffer(data, "<u2", distinct - n, at)
+    at += 2 * (distinct - n)
+    listed[rare] = np.frombuffer(data, "<u8", n, at)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + 8 * n :]), np.uint8).reshape(width, -1)
+    rank = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
+    return np.repeat(np.arange(3, dtype=np.int8), kinds), np.split(listed[rank], columns)
+
 
-    counts = docs.select("text").mapInArrow(run, ", ".join(f"{x} long" for x in ["v", *names]))
-    return cut(counts.groupBy("v").agg(*(F.sum(x).alias(x) for x in names)))
+def pack_numbers(columns: list[np.ndarray], squeeze: zstandard.ZstdCompressor) -> bytes:
+    """64-bit numbers, by bytes of like place; the first column as differences."""
+    columns = [np.diff(columns[0], prepend=0), *columns[1:]]
+    return squeeze.compress(b"".join(x.view(np.uint8).reshape(-1, 8).T.tobytes() for x in columns))
 
 
-def common_words(counts: DataFrame, partitions: int) -> pa.Table:
-    """(v, n) of the words (and the begin mark) that begin more than 1 / (SPREAD * partitions) of all pairs."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return counts.where(F.col("n") * (SPREAD * partitions) > total).select("v", "n").toArrow()  # fewer than SPREAD * partitions rows
+def unpack_numbers(data: bytes, kinds: list[str]) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(len(kinds), 8, -1)
+    out = [np.ascontiguousarray(x.T).view(kind).ravel() for x, kind in zip(planes, kinds)]
+    return [np.cumsum(out[0]), *out[1:]]
 
 
-def _rows(docs: DataFrame, partitions: int, common: np.ndarray) -> DataFrame:
-    """(part, rows, owners): binaries of positions, by partition, and of the doc_ids and how many of the positions each has."""
+def positions(docs: DataFrame, partitions: int, shared) -> DataFrame:
+    """(part, rows, owners, sums): binaries of the positions for a partition, of the doc_ids and how many of the positions each
+    has; and, with rows null, of the doc_ids of a batch, their words, and what is known of their scores already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze, known, P = zstandard.ZstdCompressor(level=1), shared.value, T.U(partitions)
         for batch in batches:
             for piece in T.pieces(batch, "text", PIECE_BYTES):
-                hashes, rows_, base = [], [], 0
-                for small in T.pieces(piece, "text", 1 << 19):
-                    words = T.words(small.column(1))
-                    hashes.append(words.hash & MASK)
-                    rows_.append((words.row + base).astype(np.int32))
+                found, rows, base = [], [], 0
+                for small in T.pieces(piece, "text", 1 << 20):
+                    h, r = hashes_of(small.column(1))
+                    found.append(h)
+                    rows.append(r + base)
                     base += small.num_rows
-                numbers, w = np.unique(np.concatenate(hashes), return_inverse=True)
-                w, row = w.astype(np.int32), np.concatenate(rows_)
-                del hashes, rows_
-                numbers = np.append(numbers, [BEGIN, END])  # the piece's words by index, then the marks
-                s, v, a = _around(w, row, len(numbers) - 2, len(numbers) - 1)
-                part = (T.mix(numbers) % T.U(partitions)).astype(np.int32)[v]
-                often = np.flatnonzero(np.isin(numbers, common)[v])
-                part[often] = T.mix(numbers[v[often]] * T.U(3) + numbers[w[often]]) % T.U(partitions)
+                w, words = pd.factorize(np.concatenate(found))
+                w, row, ids = w.astype(np.int32), np.concatenate(rows), piece.column(0).to_numpy(zero_copy_only=False)
+                del found, rows
+                value = np.append(known.coded(words), [T.U(BEGIN), T.U(END)])  # the piece's words by index, then the marks
+                begin, end = len(words), len(words) + 1
+                s, v, a = around(w, row, begin, end)
+                small = value < known.dense
+                both = small[v] & small[w]
+                full, two = np.flatnonzero(~both), np.flatnonzero(both)
+
+                cs, cv, cw, ca = (np.where(small, value, 0)[x[two]].astype(np.int64) for x in (s, v, w, a))
+                c2, three, more = known.pairs[cv, cw], small[s[two]], a[two] != end
+                share = np.where(three, known.ending(known.trigrams[cs, cv, cw], c2, known.n[cv], cv, cw), 0.0)
+                follows = more & small[a[two]] & (known.trigrams[cv, cw, ca] >= LEAST)
+                share -= np.where(follows, np.log(np.maximum(c2, 1)), 0.0)
+                sums = [ids, np.bincount(row, minlength=len(ids)), np.bincount(row[two], share, len(ids))]
+
+                ends, begins = two[~three], two[more & ~small[a[two]]]
+                at = np.concatenate([full, ends, begins])
+                kind = np.repeat(np.arange(3, dtype=np.int8), [len(full), len(ends), len(begins)])
+                mixed, plain = T.mix(value), value < RARE
+                pair = lambda x: T.mix(mixed[v[x]] * T.U(3) + mixed[w[x]])  # noqa: E731, B023
+                where = [np.where(plain[v[full]], pair(full), mixed[v[full]]), T.mix(pair(ends) * T.U(5) + mixed[s[ends]]), T.mix(pair(begins) * T.U(7) + mixed[a[begins]])]
+                part = (np.concatenate(where) % P).astype(np.int32)
                 order = np.argsort(part, kind="stable")
-                bounds = np.searchsorted(part[order], np.arange(partitions + 1))
-                ids = piece.column(0).to_numpy(zero_copy_only=False)
-                parts, rows, owners = [], [], []
-                for p in range(partitions):
-                    own = order[bounds[p] : bounds[p + 1]]
-                    if len(own):
-                        at, n = np.unique(row[own], return_counts=True)
-                        parts.append(p)
-                        rows.append(pack_columns([x[own] for x in (s, v, w, a)], numbers, squeeze))
-                        owners.append(pack_owners(ids[at], n, squeeze))
-                made = pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(rows, pa.binary()), pa.array(owners, pa.binary())], ["part", "rows", "owners"])
-                del s, v, w, a, row, part, often, order, numbers, rows, owners
+                first = np.flatnonzero(np.diff(part[order], prepend=-1))
+                parts, packed, owners = [], [], []
+                for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(order)]):
+                    own, k = at[order[lo:hi]], kind[order[lo:hi]]
+                    columns = [np.where(k == BEGINS, begin, s[own]), v[own], w[own], np.where(k == ENDS, end, a[own])]
+                    runs = np.flatnonzero(np.diff(row[own], prepend=-1))
+                    parts.append(int(part[order[lo]]))
+                    packed.append(pack(columns, value, np.bincount(k, minlength=3), squeeze))
+                    owners.append(pack_numbers([ids[row[own[runs]]], np.diff(runs, append=hi - lo)], squeeze))
+                parts.append(int(T.mix(ids[:1].view(T.U))[0] % P))
+                columns = [pa.array(parts, pa.int32()), pa.array([*packed, None], pa.binary()), pa.array([*owners, None], pa.binary()), pa.array([None] * len(packed) + [pack_numbers(sums, squeeze)], pa.binary())]
+                del s, v, w, a, row, part, order, at, kind, value, mixed, words, packed, owners, both, full, two, where
                 _trim()
-                yield made
-                del made
+                yield pa.RecordBatch.from_arrays(columns, ["part", "rows", "owners", "sums"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, rows binary, owners binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part int, rows binary, owners binary, sums binary")
 
 
 def _trim() -> None:
@@ -174,124 +283,79 @@ def _trim() -> None:
         trim(0)
 
 
-def _counts(*keys: np.ndarray) -> np.ndarray:
+def counted(keys: np.ndarray) -> np.ndarray:
     """For each row: how many rows have the same key."""
-    mixed = keys[0]
-    for k in keys[1:]:
-        mixed = T.mix(mixed) * T.U(5) + k
-    _, back, n = np.unique(T.mix(mixed), return_inverse=True, return_counts=True)
-    return n[back]
-
-
-def _shares(s: np.ndarray, v: np.ndarray, w: np.ndarray, a: np.ndarray, common: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """What each row adds to its document's score, by trigrams and pairs, and whether its pair was counted often enough; rows: all those of a partition."""
-    pair = T.mix(v * T.U(3) + w)
-    c1, c2 = _counts(v), _counts(pair)
-    if len(common):  # sorted; these words' rows are spread, so their counts come from the table
-        at = np.minimum(np.searchsorted(common, v), len(common) - 1)
-        c1 = np.where(common[at] == v, n[at], c1)
-    c3, next3 = _counts(pair, s), _counts(pair, a)
-    hit = c3 >= LEAST
-    # log c(s v w) - log c(s v) or log ALPHA + log c(v w) - log c(v); the pair s v is the row before, so its
-    # logarithm is taken off at that row, where it is known whether the next trigram is a hit
-    share = np.where(hit, np.log(c3), np.log(ALPHA) + np.log(c2) - np.log(c1))
-    follows = (next3 >= LEAST) & (a != END)
-    share -= np.where(follows, np.log(c2), 0.0)
-    return share, c2 >= LEAST
-
-
-def score(docs: DataFrame, partitions: int | None = None, unigrams: bool = False, top: int = TOP) -> DataFrame:
+    at, distinct = pd.factorize(keys)
+    return np.bincount(at, minlength=len(distinct))[at]
+
+
+def shares(kind: np.ndarray, s: np.ndarray, v: np.ndarray, w: np.ndarray, a: np.ndarray, known: Known) -> tuple[np.ndarray, np.ndarray]:
+    """What each row of a partition adds to its document's score, and whether c(w) of a word without code is missing in it."""
+    full, begins = kind == FULL, kind == BEGINS
+    pair = T.mix(T.mix(v) * T.U(3) + T.mix(w))
+    c2 = np.zeros(len(v), np.int64)
+    c2[full] = counted(pair[full])
+    c2[~full] = known.pairs[v[~full].astype(np.int64), w[~full].astype(np.int64)]
+    c1 = known.of(v, known.n)
+    lone = full & (v >= RARE)  # all rows of such a word are here
+    c1[lone] = counted(v[lone])
+    c3, next3 = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
+    c3[~begins] = counted(T.mix(pair[~begins] * T.U(5) + T.mix(s[~begins])))
+    after = np.flatnonzero((kind != ENDS) & (a != END))
+    next3[after] = counted(T.mix(pair[after] * T.U(7) + T.mix(a[after])))
+    share = np.where(begins, 0.0, known.ending(c3, c2, c1, v, w))
+    # the pair s v is the row before: its logarithm is taken off there, where it is known whether the next trigram is a hit
+    share -= np.where(next3 >= LEAST, np.log(np.maximum(c2, 1)), 0.0)
+    return share, ~begins & (c3 < LEAST) & (c2 < LEAST) & (w >= RARE)
+
+
+def score(docs: DataFrame, partitions: int | None = None, top: int = TOP, dense: int = DENSE) -> DataFrame:
     """(doc_id, n_words, score, perplexity) of each document, by the counts of all of them."""
     docs = docs.where("doc_id IS NOT NULL")
     if partitions is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         partitions = max(1, int(-(-size // PARTITION_BYTES)))
-    counted = word_counts(docs, unigrams)
-    found = common_words(counted, partitions)
-    words, counts = found.column("v").to_numpy().view(T.U), found.column("n").to_numpy()
-    order = np.argsort(words)
-    words, counts = words[order], counts[order]
-    begin = dict(zip(words.tolist(), counts.tolist())).get(int(BEGIN))
-
-    if unigrams:
-        total = counted.agg(F.sum("m")).first()[0] or 0
-        known = counted.where("m > 0").orderBy(F.desc("m"), "v").limit(top).select("v", "m").toArrow()
-        known = known.sort_by("v")
-        beside = docs.sparkSession.sparkContext.broadcast((known.column("v").to_numpy().view(T.U), known.column("m").to_numpy()))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        s, v, w, a = (np.concatenate(c) for c in zip(*(unpack_columns(data, 4) for data in pdf["rows"])))
-        share, paired = _shares(s, v, w, a, words, counts)
-        first = v == BEGIN  # the first word's trigram is its pair after two begin marks: c(b b w) / c(b b)
-        if first.any():
-            c = _counts(T.mix(v * T.U(3) + w))
-            hit = c >= LEAST
-            share[first & hit] -= np.log(begin if begin is not None else first.sum())
-        ids, sizes = (np.concatenate(x) for x in zip(*map(unpack_owners, pdf["owners"])))
-        at, back = np.unique(ids, return_inverse=True)
+    counts = word_counts(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(dense_counts(docs, common_words(counts, top), dense))  # 4 MB at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, rows, owners, names = [], [], [], ["doc_id", "n", "share", "w", "times"]
+        for batch in batches:  # one partition: PARTITION_BYTES of text, whatever the corpus
+            for packed, owner, sums in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                if packed is None:
+                    ids, n, share = unpack_numbers(sums, ["<i8", "<i8", "<f8"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.array(share), pa.array(np.full(len(ids), -1)), pa.array(np.zeros(len(ids), np.int64))], names)
+                else:
+                    kind, columns = unpack(packed, 4)
+                    kinds.append(kind)
+                    rows.append(columns)
+                    owners.append(unpack_numbers(owner, ["<i8", "<i8"]))
+        if not rows:
+            return
+        w = np.concatenate([r[2] for r in rows])
+        share, missing = shares(np.concatenate(kinds), *(np.concatenate(c) for c in zip(*rows)), shared.value)
+        ids, sizes = (np.concatenate(x) for x in zip(*owners))
+        del rows, kinds, owners
+        back, at = pd.factorize(ids)
         each = np.repeat(back, sizes)
-        if unigrams:
-            lone = np.flatnonzero(~paired)
-            names, times = beside.value
-            place = np.minimum(np.searchsorted(names, w[lone]), len(names) - 1)
-            there = names[place] == w[lone]
-            # no trigram counted LEAST times begins with such a pair, so nothing else is in its share
-            share[lone] = 2 * np.log(ALPHA) - np.log(total) + np.where(there, np.log(times[place]), 0.0)
-            rest = pd.DataFrame({"doc_id": at[each[lone[~there]]], "w": w[lone[~there]].view(np.int64)}).value_counts(sort=False).rename("n").reset_index()
-        sums = pd.DataFrame({"doc_id": at, "n": np.bincount(each, minlength=len(at)), "share": np.bincount(each, share, len(at))})
-        if unigrams:
-            sums = pd.concat([sums.assign(w=np.int64(-1)), rest.assign(share=0.0)])[["doc_id", "n", "share", "w"]]
-        del s, v, w, a, share, each, back, pdf
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.zeros(len(at), np.int64)), pa.array(np.bincount(each, share, len(at))), pa.array(np.full(len(at), -1)), pa.array(np.zeros(len(at), np.int64))], names)
+        rest = pd.DataFrame({"doc_id": at[each[missing]], "w": w[missing].view(np.int64)}).value_counts(sort=False).rename("times").reset_index()
+        del share, missing, each, w, back
         _trim()
-        return sums
+        yield pa.RecordBatch.from_arrays([pa.array(rest["doc_id"].to_numpy()), pa.array(np.zeros(len(rest), np.int64)), pa.array(np.zeros(len(rest))), pa.array(rest["w"].to_numpy()), pa.array(rest["times"].to_numpy())], names)
 
-    rows = _rows(docs, partitions, words)
-    parts = rows.groupBy("part").applyInPandas(run, "doc_id long, n long, share double" + ", w long" * unigrams)
-    if unigrams:  # w is -1 in the sums; elsewhere a word that pairs counted less than LEAST times end with, n times
-        parts = stored(parts.repartition("doc_id").groupBy("doc_id", "w").agg(F.sum("n").alias("n"), F.sum("share").alias("share")))
-        rest = parts.where("w >= 0").join(counted.select(F.col("v").alias("w"), "m"), "w")
-        rest = rest.groupBy("doc_id").agg(F.sum(F.col("n") * F.log("m")).alias("share")).select("doc_id", F.lit(0).cast("long").alias("n"), "share")
-        parts = parts.where("w < 0").select("doc_id", "n", "share").unionByName(rest)
-    sums = parts.groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("share").alias("score"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    out = ids.join(sums, "doc_id", "left").select("doc_id", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    return out.withColumn("perplexity", F.expr("CASE WHEN n_words > 0 THEN exp(-score / n_words) END"))
+    rows = positions(docs, partitions, shared).repartitionById(partitions, "part")
+    parts = rows.mapInArrow(run, "doc_id long, n long, share double, w long, times long")
+    # w is -1 in the sums; elsewhere a word without code that pairs counted less than LEAST times end with, so many times
+    parts = stored(parts.repartition("doc_id").groupBy("doc_id", "w").agg(*(F.sum(c).alias(c) for c in ("n", "share", "times"))))
+    rest = parts.where("times > 0").join(counts.select(F.col("v").alias("w"), "m"), "w")
+    rest = rest.groupBy("doc_id").agg(F.sum(F.col("times") * F.log("m")).alias("share")).select("doc_id", F.lit(0).cast("long").alias("n"), "share")
+    sums = parts.where("times = 0").select("doc_id", "n", "share").unionByName(rest).groupBy("doc_id").agg(F.sum("n").alias("n_words"), F.sum("share").alias("score"))
+    return sums.withColumn("perplexity", F.expr("CASE WHEN n_words > 0 THEN exp(-score / n_words) END"))
 
 
 #: The same in DuckDB. Perplexity and score are compared to six digits after the point.
 STUPID_BACKOFF_SQL = r"""
-WITH lists AS (
-  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10ffff}]+') AS w
-  FROM documents WHERE doc_id IS NOT NULL),
-words AS (
-  SELECT row_number() OVER () AS r, doc_id, w FROM lists),
-rows_ AS (
-  SELECT r, doc_id, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM words),
-grams AS (
-  SELECT r, doc_id, word,
-    coalesce(lag(word, 1) OVER (PARTITION BY r ORDER BY i), '<s>') AS v,
-    coalesce(lag(word, 2) OVER (PARTITION BY r ORDER BY i), '<s>') AS u
-  FROM rows_),
-counted AS (
-  SELECT doc_id, r,
-    count(*) OVER (PARTITION BY u, v, word) AS c3, count(*) OVER (PARTITION BY v, word) AS c2,
-    count(*) OVER (PARTITION BY v) AS c1, u, v, word
-  FROM grams),
-pairs AS (SELECT v, word, count(*) AS n FROM grams GROUP BY ALL),
-begins AS (SELECT count(*) AS n FROM grams WHERE v = '<s>'),
-shares AS (
-  SELECT doc_id, CASE WHEN c3 >= 2
-    THEN ln(c3) - ln(CASE WHEN counted.v = '<s>' THEN (SELECT n FROM begins) ELSE pairs.n END)
-    ELSE ln(0.4) + ln(c2) - ln(c1) END AS share
-  FROM counted LEFT JOIN pairs ON pairs.v = counted.u AND pairs.word = counted.v),
-sums AS (SELECT doc_id, count(*) AS n_words, sum(share) AS score FROM shares GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, round(coalesce(score, 0.0), 6) AS score,
-  CASE WHEN n_words > 0 THEN round(exp(-score / n_words), 6) END AS perplexity
-FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN sums USING (doc_id)
-"""
-
-#: With the level of unigrams.
-BACKOFF_TO_UNIGRAMS_SQL = r"""
 WITH lists AS (
   SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9_\x{80}-\x{10ffff}]+') AS w
   FROM documents WHERE doc_id IS NOT NULL),
@@ -327,8 +391,3 @@ FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOI
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = score(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("perplexity", 6).alias("perplexity"))
-
-
-def op3_backoff_to_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = score(table(spark, sf_dir, "documents"), unigrams=True)
-    return out.select("doc_id", "n_words", F.round("score", 6).alias("score"), F.round("perplexity", 6).alias("perplexity"))

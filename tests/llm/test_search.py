@@ -91,46 +91,9 @@ def test_components_of_a_long_path(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
-def brute_backoff(rows):
-    tri, bi, uni, docs = Counter(), Counter(), Counter(), []
-    for i, t in rows:
-        if i is None:
-            continue
-        w = [bytes(x.data[a:b]).decode() for x in [T.words(pa.array([t or ""]))] for a, b in zip(x.start, x.end)]
-        w = [x.lower() for x in w]
-        padded = ["<s>", "<s>", *w]
-        grams = [tuple(padded[k : k + 3]) for k in range(len(w))]
-        docs.append((i, grams))
-        tri.update(grams)
-        bi.update(g[1:] for g in grams)
-        uni.update(g[1] for g in grams)
-    out = defaultdict(lambda: [0, 0.0])
-    begins = uni["<s>"]
-    for i, grams in docs:
-        out[i][0] += len(grams)
-        for s, v, w in grams:
-            if tri[s, v, w] >= 2:
-                before = begins if v == "<s>" else bi[s, v]
-                out[i][1] += math.log(tri[s, v, w] / before)
-            else:
-                out[i][1] += math.log(0.4 * bi[v, w] / uni[v])
-    return out
-
-
-@pytest.mark.parametrize("partitions", [1, 3])
-def test_backoff_scores(spark, partitions):
-    rows = [(i, t) for i, t in corpus() if i != 305] + [(305, "the the the the cat the end " * 3000)]
-    want = brute_backoff(rows)
-    got = {r.doc_id: r for r in ngram_lm.score(documents(spark, rows), partitions).collect()}
-    assert set(got) == {i for i, _ in rows if i is not None}
-    for i, r in got.items():
-        n, s = want[i]
-        assert r.n_words == n and r.score == pytest.approx(s, rel=1e-9, abs=1e-9)
-        assert r.perplexity == (pytest.approx(math.exp(-s / n)) if n else None)
-
-
-@pytest.mark.parametrize("partitions, top", [(1, 1 << 18), (3, 2)])
-def test_backoff_reaches_the_unigrams(spark, partitions, top):
+@pytest.mark.parametrize("partitions, top, dense", [(1, 65_000, 64), (3, 2, 3), (3, 40, 8), (2, 0, 2)])
+def test_backoff_scores(spark, partitions, top, dense):
+    """With and without codes, and with dense pairs among them."""
     rows = [(i, t) for i, t in corpus() if i != 305] + [(305, "the the the the cat the end " * 3000), (400, " ".join(f"gibber{k}" for k in range(40)))]
     uni, tri, bi, first, docs = Counter(), Counter(), Counter(), Counter(), []
     for i, t in rows:
@@ -154,14 +117,25 @@ def test_backoff_reaches_the_unigrams(spark, partitions, top):
             else:
                 p = 0.4**2 * uni[w] / uni.total()
             want[i] = [want[i][0] + 1, want[i][1] + math.log(p)]
-    got = {r.doc_id: r for r in ngram_lm.score(documents(spark, rows), partitions, unigrams=True, top=top).collect()}
+    got = {r.doc_id: r for r in ngram_lm.score(documents(spark, rows), partitions, top, dense).collect()}
     assert set(got) == {i for i, _ in rows if i is not None}
     for i, r in got.items():
         n, s = want[i]
         assert r.n_words == n and r.score == pytest.approx(s, rel=1e-9, abs=1e-9)
+        assert r.perplexity == (pytest.approx(math.exp(-s / n)) if n else None)
     assert got[400].perplexity == pytest.approx(uni.total() / 0.4**2)
-    assert ngram_lm.score(documents(spark, [(1, None)]), unigrams=True).first().n_words == 0
-    assert ngram_lm.score(documents(spark, []), unigrams=True).count() == 0
+
+
+def test_one_pair_in_a_third_of_all_places_is_spread(spark):
+    """Rows of a dense pair go by their trigrams: no partition gets many more than its share."""
+    r = np.random.default_rng(14)
+    rows = [(k, " ".join("hot pair" if x % 3 == 0 else f"w{x}" for x in r.integers(0, 3000, 300))) for k in range(40)]
+    docs = documents(spark, rows)
+    shared = spark.sparkContext.broadcast(ngram_lm.dense_counts(docs, ngram_lm.common_words(ngram_lm.word_counts(docs)), 8))
+    sizes = Counter()
+    for x in ngram_lm.positions(docs, 16, shared).where("rows IS NOT NULL").collect():
+        sizes[x.part] += len(ngram_lm.unpack(bytes(x.rows), 4)[0])
+    assert max(sizes.values()) < 2 * sum(sizes.values()) / 16
 
 
 def test_backoff_of_an_empty_table(spark):
