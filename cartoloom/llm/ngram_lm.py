@@ -7,7 +7,7 @@ itself; LEAST leaves that count out.) A document's score is the sum over its wor
 
 The tables of counts, each by the 64-bit hash of its n-gram:
 
-* Words: a table in the shared folder. Those that begin the most pairs, at most TOP, are also broadcast (2 MB) and get codes.
+* Words: a table in the shared folder. Those that begin the most pairs, at most TOP, are also broadcast (8 MB) and get codes.
 * Pairs and trigrams of the DENSE commonest words: at most DENSE^2 + DENSE^3 counts, broadcast. No other n-gram can hold more
   than 1 / DENSE of all positions, however skewed the corpus is.
 * All other pairs and trigrams. Each position becomes a row (u, v, w, next word) that is sent to the partition of its pair (of
@@ -18,8 +18,8 @@ A position of a dense pair isn't sent by its pair: what isn't known from the bro
 trigram that ends with the pair and by the one that begins with it. Pairs counted less than LEAST times whose word has no code
 leave their partition as rows (doc_id, w, times), which an equi-join with the table of words completes.
 
-The rows of one document batch (PIECE_BYTES of text) for one partition travel as one compressed binary with codes and a list
-of the other words' hashes. There are never more binaries than positions; they hold some thousand positions up to 30 GB of
+The rows of one document batch (PIECE_BYTES of text) for one partition travel as one compressed binary: a list of the distinct
+words, by code or hash, and their places in it. There are never more binaries than positions; they hold some thousand positions up to 30 GB of
 text and fewer beyond, as the number of partitions grows with the text (PARTITION_BYTES) and batches don't.
 
 Words are those of _text (lower-cased runs of word characters), told apart by 64-bit hashes. Null texts, empty texts and texts
@@ -45,11 +45,11 @@ from cartoloom.llm._spark import stored, table
 
 ALPHA, LEAST = 0.4, 2
 #: Words with codes, and those whose pairs and trigrams are counted beforehand.
-TOP, DENSE = 65_000, 64
+TOP, DENSE = 260_000, 64
 #: Bytes of text for each partition of the rows, and for each set of binaries that a task sends.
-PARTITION_BYTES, PIECE_BYTES = 8 << 20, 16 << 20
+PARTITION_BYTES, PIECE_BYTES = 8 << 20, 8 << 20
 #: Codes: the marks, then the words from the commonest on; a word is its code, or its hash, which is RARE at least.
-BEGIN, END, RARE = 0, 1, 1 << 16
+BEGIN, END, RARE = 0, 1, 1 << 18
 FULL, ENDS, BEGINS = 0, 1, 2
 
 
@@ -123,7 +123,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 at, words = pd.factorize(np.concatenate(found))
                 before = around(at, np.concatenate(rows), len(words), len(words))[1]
                 n, m = np.bincount(before, minlength=len(words) + 1), np.bincount(at, minlength=len(words) + 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(words, T.U(BEGIN)).view(np.int64)), pa.array(n), pa.array(m)], ["v", "n", "m"])
+                words = np.append(words, T.U(BEGIN)).view(np.int64)
+                del found, rows, at, before
+                _trim()
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n), pa.array(m)], ["v", "n", "m"])
 
     counts = docs.select("text").mapInArrow(run, "v long, n long, m long")
     return stored(counts.groupBy("v").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
@@ -180,32 +183,26 @@ def dense_counts(docs: DataFrame, known: Known, dense: int = DENSE) -> Known:
 
 
 def pack(columns: list[np.ndarray], values: np.ndarray, kinds: np.ndarray, squeeze: zstandard.ZstdCompressor) -> bytes:
-    """Columns of indexes of values: the distinct values, the commonest first, as two bytes (a code) or eight (a hash), and two
-    bytes (or four) for each index. kinds: how many rows there are of each kind."""
+    """Columns of indexes of values: the distinct values in order, as differences (so codes, which go by how common a word is,
+    take about a byte), and for each index its place among them. kinds: how many rows there are of each kind."""
     at, distinct = pd.factorize(np.concatenate(columns))
-    order = np.argsort(-np.bincount(at, minlength=len(distinct)), kind="stable")
+    listed = values[distinct]
+    order = np.argsort(listed)
     rank = np.empty(len(distinct), np.int64)
     rank[order] = np.arange(len(distinct))
     width = 2 if len(distinct) <= 1 << 16 else 4
     planes = rank[at].astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
-    listed = values[distinct[order]]
-    rare = listed >= RARE
-    head = np.array([len(distinct), int(rare.sum()), width, *kinds], "<u4").tobytes()
-    return head + np.packbits(rare).tobytes() + listed[~rare].astype("<u2").tobytes() + listed[rare].astype("<u8").tobytes() + squeeze.compress(planes)
+    words = pack_numbers([listed[order].view(np.int64)], squeeze)
+    return np.array([len(words), width, *kinds], "<u4").tobytes() + words + squeeze.compress(planes)
 
 
 def unpack(data: bytes, columns: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(kind of each row, the columns of values)."""
-    distinct, n, width, *kinds = np.frombuffer(data, "<u4", 6).tolist()
-    bits, at = -(-distinct // 8), 24
-    rare = np.unpackbits(np.frombuffer(data, np.uint8, bits, at), count=distinct).astype(bool)
-    listed, at = np.empty(distinct, T.U), at + bits
-    listed[~rare] = np.frombuffer(data, "<u2", distinct - n, at)
-    at += 2 * (distinct - n)
-    listed[rare] = np.frombuffer(data, "<u8", n, at)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at + 8 * n :]), np.uint8).reshape(width, -1)
+    size, width, *kinds = np.frombuffer(data, "<u4", 5).tolist()
+    (listed,) = unpack_numbers(data[20 : 20 + size], ["<i8"])
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[20 + size :]), np.uint8).reshape(width, -1)
     rank = np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
-    return np.repeat(np.arange(3, dtype=np.int8), kinds), np.split(listed[rank], columns)
+    return np.repeat(np.arange(3, dtype=np.int8), kinds), np.split(listed.view(T.U)[rank], columns)
 
 
 def pack_numbers(columns: list[np.ndarray], squeeze: zstandard.ZstdCompressor) -> bytes:
@@ -316,7 +313,7 @@ def score(docs: DataFrame, partitions: int | None = None, top: int = TOP, dense:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         partitions = max(1, int(-(-size // PARTITION_BYTES)))
     counts = word_counts(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(dense_counts(docs, common_words(counts, top), dense))  # 4 MB at most
+    shared = docs.sparkSession.sparkContext.broadcast(dense_counts(docs, common_words(counts, top), dense))  # 11 MB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, rows, owners, names = [], [], [], ["doc_id", "n", "share", "w", "times"]

@@ -91,7 +91,7 @@ def test_components_of_a_long_path(spark):
     assert got == {k: 0 for k in range(1, 41)} | {101: 100}
 
 
-@pytest.mark.parametrize("partitions, top, dense", [(1, 65_000, 64), (3, 2, 3), (3, 40, 8), (2, 0, 2)])
+@pytest.mark.parametrize("partitions, top, dense", [(1, 260_000, 64), (3, 2, 3), (3, 40, 8), (2, 0, 2)])
 def test_backoff_scores(spark, partitions, top, dense):
     """With and without codes, and with dense pairs among them."""
     rows = [(i, t) for i, t in corpus() if i != 305] + [(305, "the the the the cat the end " * 3000), (400, " ".join(f"gibber{k}" for k in range(40)))]
