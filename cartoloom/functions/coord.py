@@ -3,7 +3,8 @@
 Contract: comments and nowiki parts don't count; the first coord template of the text does, in any case of letters. Its
 unnamed arguments are read from the left: two decimal numbers; or, for each of latitude and longitude, one to three numbers
 (degrees, minutes, seconds) and a hemisphere N, S, E or W. Arguments with `=` or `:` are parameters and end the numbers.
-A bad number, a missing hemisphere or a value out of range is an error; no template is neither coordinate nor error.
+A bad number, a missing hemisphere or a value out of range is an error, which names the arguments as they stand in the text;
+no template is neither coordinate nor error.
 """
 
 from __future__ import annotations
@@ -48,13 +49,15 @@ def parse(text: Column) -> Column:
         lettered, plain = (ns > 1) & (ew > ns + 1), (ns == 0) & (ew == 0)
         lat = F.when(lettered, _angle(part(F.lit(1), ns), sign(ns, "S"))).when(plain, F.get(args, F.lit(0)).try_cast("double"))
         lon = F.when(lettered, _angle(part(ns + 1, ew), sign(ew, "W"))).when(plain, F.get(args, F.lit(1)).try_cast("double"))
-        return F.struct(args.alias("args"), lat.alias("lat"), lon.alias("lon"))
+        return F.struct(x["given"].alias("given"), lat.alias("lat"), lon.alias("lon"))
 
     def checked(x: Column) -> Column:
         good = F.coalesce(x["lat"].between(-90, 90) & x["lon"].between(-180, 180), F.lit(False))
-        error = F.when(x["args"].isNotNull() & ~good, F.concat(F.lit("bad coordinate: "), F.array_join(x["args"], "|")))
+        error = F.when(x["given"].isNotNull() & ~good, F.concat(F.lit("bad coordinate: "), F.array_join(x["given"], "|")))
         return F.struct(F.when(good, x["lat"]).alias("lat"), F.when(good, x["lon"]).alias("lon"), error.alias("error"))
 
-    upper = F.transform(arguments(text), lambda a: F.upper(a))
-    places = let(upper, lambda args: F.struct(args.alias("args"), place(args, "N", "S"), place(args, "E", "W")))
-    return let(let(places, angles), checked)
+    def places(x: Column) -> Column:
+        return F.struct(x["given"].alias("given"), x["args"].alias("args"), place(x["args"], "N", "S"), place(x["args"], "E", "W"))
+
+    both = let(arguments(text), lambda given: F.struct(given.alias("given"), F.transform(given, lambda a: F.upper(a)).alias("args")))
+    return let(let(let(both, places), angles), checked)

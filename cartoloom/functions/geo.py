@@ -63,11 +63,6 @@ def simplified(points: Column, turn: float = TURN) -> Column:
     return F.transform(bent, lambda t: t["here"])
 
 
-def length(points: Column) -> Column:
-    """Planar length in degrees."""
-    return F.aggregate(_segments(points), F.lit(0.0), lambda acc, d: acc + d)
-
-
 def _segments(points: Column) -> Column:
     a, b = F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0)))
     return F.zip_with(a, b, lambda p, q: F.hypot(q["lon"] - p["lon"], q["lat"] - p["lat"]))

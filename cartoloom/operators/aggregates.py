@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,6 +43,21 @@ def member_counts(relations: DataFrame) -> DataFrame:
     return relations.select("id", *(members_of(m, k).alias(n) for k, n in enumerate(("nodes", "ways", "relations"))))
 
 
+def save(path: str, **sets: DataFrame) -> None:
+    """Write id sets as one table, with a folder for each name."""
+    parts = [ids.select("id", F.lit(name).alias("name")) for name, ids in sorted(sets.items())]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    out.write.mode("overwrite").partitionBy("name").parquet(path)
+
+
+def load(spark: SparkSession, path: str, *names: str) -> list[DataFrame]:
+    """The sets of these names; a name that isn't there has no ids."""
+    rows = spark.read.schema("id long, name string").parquet(path)
+    return [rows.where(F.col("name") == name).select("id") for name in names]
+
+
 def statistics(**sets: DataFrame) -> DataFrame:
     """(name, n) for each id set."""
     parts = [cardinality(ids).select(F.lit(name).alias("name"), "n") for name, ids in sorted(sets.items())]

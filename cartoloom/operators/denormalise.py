@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cartoloom.functions import codec, geo
 from cartoloom.functions import tags as tag_functions
 from cartoloom.functions.text import round_coordinate
+from cartoloom.operators.sequence import first_match
 from cartoloom.schemas import NODE_TYPE, WAY_TYPE
 
 
@@ -50,11 +51,15 @@ def needed_way_ids(relations: DataFrame) -> DataFrame:
     return relations.select(F.explode("members").alias("m")).where(F.col("m.type") == WAY_TYPE).select(F.col("m.id").alias("id")).distinct()
 
 
+def node_members(relations: DataFrame) -> DataFrame:
+    """(id) of the relations' own node members, with repeats."""
+    return relations.select(F.explode("members").alias("m")).where(F.col("m.type") == NODE_TYPE).select(F.col("m.id").alias("id"))
+
+
 def needed_node_ids(relations: DataFrame, ways: DataFrame) -> DataFrame:
     """Distinct ids of the nodes of those ways, and of the relations' own node members."""
     inner = ways.join(needed_way_ids(relations), "id", "left_semi").select(F.explode("node_ids").alias("id"))
-    own = relations.select(F.explode("members").alias("m")).where(F.col("m.type") == NODE_TYPE).select(F.col("m.id").alias("id"))
-    return inner.union(own).distinct()
+    return inner.union(node_members(relations)).distinct()
 
 
 def relation_ways(relations: DataFrame, way_boxes: DataFrame) -> DataFrame:
@@ -73,10 +78,10 @@ def relation_ways(relations: DataFrame, way_boxes: DataFrame) -> DataFrame:
 
 
 def largest_way(kept: DataFrame) -> DataFrame:
-    """(id, centroid, bounds) of each relation's way with the largest box; of equals the first."""
+    """(id, centroid, bounds, ways) of each relation's way with the largest box (of equals the first), and how many it has."""
     size = F.struct(geo.area(F.col("bounds")).alias("area"), (-F.col("pos")).alias("first"))
-    best = kept.where(F.col("bounds").isNotNull()).groupBy("relation_id").agg(F.max_by(F.struct("centroid", "bounds"), size).alias("best"))
-    return best.select(F.col("relation_id").alias("id"), "best.centroid", "best.bounds")
+    best = kept.where(F.col("bounds").isNotNull()).groupBy("relation_id").agg(F.max_by(F.struct("centroid", "bounds"), size).alias("best"), F.count("*").alias("ways"))
+    return best.select(F.col("relation_id").alias("id"), "best.centroid", "best.bounds", "ways")
 
 
 def admin_centres(relations: DataFrame, points: DataFrame) -> DataFrame:
@@ -86,18 +91,22 @@ def admin_centres(relations: DataFrame, points: DataFrame) -> DataFrame:
     refs = refs.select("id", "pos", F.col("m.id").alias("node_id"))
     found = refs.join(points.withColumnRenamed("id", "point_id"), F.col("node_id") == F.col("point_id"))
     centre = F.struct("lat", "lon", F.lit("admin_centre").alias("type"))
-    return found.groupBy("id").agg(F.min_by(centre, "pos").alias("centre"))
+    return first_match(found, ["id"], ["pos"], centre, "centre")
 
 
 def denormalised_relations(relations: DataFrame, ways: DataFrame, nodes: DataFrame, conditions: str | None = None, rounded: bool = False) -> DataFrame:
-    """(id, tags, centroid, bounds) of the relations with a way whose tags meet the conditions.
+    """(id, tags, centroid, bounds, ways) of the relations with a way whose tags meet the conditions.
 
-    Only ways and nodes that are needed reach the joins (semi-joins first).
+    Only ways that the relations refer to reach the joins.
     """
     wanted = relations.where(tag_functions.matches(F.col("tags"), conditions) & has_way_member())
     used = ways.join(needed_way_ids(wanted), "id", "left_semi")
     points = located(nodes, rounded)
-    boxes = measured(way_points(used, points)).select("id", "centroid", "bounds")
-    best = largest_way(relation_ways(wanted, boxes))
-    out = wanted.select("id", "tags").join(best, "id").join(admin_centres(wanted, points), "id", "left")
-    return out.select("id", "tags", F.coalesce("centre", "centroid").alias("centroid"), "bounds")
+    return placed_relations(wanted, measured(way_points(used, points)), points)
+
+
+def placed_relations(relations: DataFrame, boxes: DataFrame, points: DataFrame) -> DataFrame:
+    """(id, tags, centroid, bounds, ways) of relations whose ways' boxes (id, centroid, bounds) and nodes' points are there."""
+    best = largest_way(relation_ways(relations, boxes.select("id", "centroid", "bounds")))
+    out = relations.select("id", "tags").join(best, "id").join(admin_centres(relations, points), "id", "left")
+    return out.select("id", "tags", F.coalesce("centre", "centroid").alias("centroid"), "bounds", "ways")

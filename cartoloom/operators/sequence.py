@@ -45,6 +45,11 @@ def first_n_where(df: DataFrame, order: list[str], n: int, counted: Column) -> D
     return df.crossJoin(F.broadcast(stop)).where(F.col("stop").isNull() | (F.struct(*order) < F.col("stop"))).select(*df.columns)
 
 
+def first_match(df: DataFrame, group: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """(group, name): the value of the first row of each group; one aggregation, no sort."""
+    return df.groupBy(*group).agg(F.min_by(value, F.struct(*order)).alias(name))
+
+
 def midpoint(df: DataFrame, group: list[str], order: list[str], size: Column, names: tuple[str, str] = ("before", "half")) -> DataFrame:
     """For each group the first row at which the running sum of size goes beyond half of the group's."""
     w = Window.partitionBy(*group).orderBy(*order)

@@ -7,14 +7,16 @@ the operators that are limits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cartoloom.checkpoint import shared_dir
 from cartoloom.functions import codec, coord, geo, tags, text
 from cartoloom.operators import aggregates, denormalise, sequence
-from cartoloom.plans import maps, pages
+from cartoloom.plans import extracts, maps, pages
 from cartoloom.session import prepare
 from cartoloom.sinks import lines, mapfiles
 from cartoloom.sources import geojson_lines, osm_xml, wiki_xml
@@ -123,12 +125,6 @@ def tag_building(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(tags.has_tags(F.col("tags"))).select("id", entries[0]["key"].alias("first_key"), entries[0]["value"].alias("first_value"), F.size("tags").alias("n"))
 
 
-@query("""SELECT event_id, event_type, (props->>'$.k')::BIGINT AS k, octet_length(encode(event_type)) > 5 AS named FROM events""")
-def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _table(spark, sf_dir, "events").withColumn("p", F.from_json("props", "k long"))
-    return events.select("event_id", "event_type", F.col("p.k").alias("k"), (F.octet_length("event_type") > 5).alias("named"))
-
-
 @query("""SELECT p_partkey::VARCHAR AS id, p_size * 3::DOUBLE - 75 AS lon, p_name AS name, octet_length(encode(p_name)) > 10 AS long_name FROM part WHERE p_size % 7 <> 0""")
 def geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines made of parts, and read back; a seventh is broken."""
@@ -262,8 +258,7 @@ def admin_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
 def denormalised_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, w, n = relations(spark, sf_dir), ways(spark, sf_dir), nodes(spark, sf_dir)
     out = denormalise.denormalised_relations(r, w, n, "boundary")
-    counts = denormalise.relation_ways(r, _boxes(spark, sf_dir)).groupBy(F.col("relation_id").alias("id")).agg(F.count("*").alias("ways"))
-    return out.join(counts, "id").select("id", F.coalesce(F.col("centroid.type") == "admin_centre", F.lit(False)).alias("by_centre"), "ways")
+    return out.select("id", F.coalesce(F.col("centroid.type") == "admin_centre", F.lit(False)).alias("by_centre"), "ways")
 
 
 @query("""SELECT 'node' AS type, count(*) AS n FROM part WHERE p_size > 2 UNION ALL SELECT 'way', count(DISTINCT l_orderkey) FROM lineitem UNION ALL SELECT 'relation', count(*) FROM customer""")
@@ -338,23 +333,22 @@ def node_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("id", again["entrance"].alias("entrance"), again["wheelchair"].alias("wheelchair"), "flags")
 
 
-@query("""SELECT c_custkey AS id,
-  CASE WHEN c_custkey % 5 IN (0, 3) THEN round((c_nationkey + 30 / 60::DOUBLE + (c_custkey % 60) / 3600::DOUBLE) * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END, 9) WHEN c_custkey % 5 = 1 THEN c_nationkey + 0.25 END AS lat,
-  CASE WHEN c_custkey % 5 IN (0, 3) THEN (c_custkey % 180) * -1::DOUBLE WHEN c_custkey % 5 = 1 THEN -c_nationkey - 0.5 END AS lon, c_custkey % 5 = 4 AS bad FROM customer""")
-def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates made of customers: degrees, minutes and seconds; decimal; none, or in a comment only; malformed."""
+def coordinate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _table(spark, sf_dir, "customer")
     k, n = F.col("c_custkey"), F.col("c_nationkey")
     dms = F.concat(F.lit("x {{Coord|"), n.cast("string"), F.lit("| 30|"), (k % 60).cast("string"), F.when(k % 2 == 0, F.lit("|n|")).otherwise(F.lit("|S|")), (k % 180).cast("string"), F.lit("|W|display=title|type:city}} {{coord|1|2}}"))
     decimal = F.concat(F.lit("<!-- {{coord|9|9}} -->{{coord|"), n.cast("string"), F.lit(".25|-"), n.cast("string"), F.lit(".5|region:XX}}"))
     body = F.when((k % 5).isin(0, 3), dms).when(k % 5 == 1, decimal).when(k % 5 == 2, "<nowiki>{{coord|1|1}}</nowiki> none").otherwise("{{coord|north|N|7|E}}")
-    parsed = c.select(k.alias("id"), coord.parse(body).alias("at"))
-    return parsed.select("id", F.round("at.lat", 9).alias("lat"), "at.lon", F.col("at.error").isNotNull().alias("bad"))
+    return c.select(k.alias("id"), F.col("c_name").alias("title"), body.alias("text"))
 
 
-@query("""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href="[^"]*">')) AS links FROM pages""")
-def page_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit('<a href="[^"]*">'), F.lit(0))).cast("long").alias("links"))
+@query("""SELECT c_custkey AS id,
+  CASE WHEN c_custkey % 5 IN (0, 3) THEN round((c_nationkey + 30 / 60::DOUBLE + (c_custkey % 60) / 3600::DOUBLE) * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END, 9) WHEN c_custkey % 5 = 1 THEN c_nationkey + 0.25 END AS lat,
+  CASE WHEN c_custkey % 5 IN (0, 3) THEN (c_custkey % 180) * -1::DOUBLE WHEN c_custkey % 5 = 1 THEN -c_nationkey - 0.5 END AS lon, c_custkey % 5 = 4 AS bad FROM customer""")
+def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Templates made of customers: degrees, minutes and seconds; decimal; none, or in a comment only; malformed."""
+    parsed = coordinate_pages(spark, sf_dir).select("id", coord.parse(F.col("text")).alias("at"))
+    return parsed.select("id", F.round("at.lat", 9).alias("lat"), "at.lon", F.col("at.error").isNotNull().alias("bad"))
 
 
 @query("""SELECT p_partkey::VARCHAR AS id, p_size * 3::DOUBLE - 75 AS lon, CASE WHEN p_size % 3 = 0 THEN 0 ELSE p_retailprice END AS lat, p_brand AS brand, (CASE WHEN p_size > 25 THEN 2 ELSE 1 END)::INT AS n FROM part""")
@@ -387,4 +381,90 @@ def strict_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_returnflag AS first_flag FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem WHERE l_quantity > 10) WHERE k = 1""")
 def first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "lineitem").where("l_quantity > 10")
-    return rows.groupBy("l_orderkey").agg(F.min_by("l_returnflag", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("first_flag"))
+    return sequence.first_match(rows, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_returnflag"), "first_flag")
+
+
+def _json(path: str):
+    return F.get_json_object("value", path)
+
+
+@query(_WITH + """SELECT lat, lon, p_brand AS brand, 'Feature' AS type FROM nodes""")
+def node_feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.node_features(nodes(spark, sf_dir))
+    return made.select(_json("$.geometry.coordinates[1]").cast("double").alias("lat"), _json("$.geometry.coordinates[0]").cast("double").alias("lon"), _json("$.properties.brand").alias("brand"), _json("$.type").alias("type"))
+
+
+@query(_WITH + """SELECT id, lat, lon, p_type AS kind FROM nodes""")
+def node_record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.node_records(nodes(spark, sf_dir))
+    return made.select(_json("$.id").cast("long").alias("id"), _json("$.lat").cast("double").alias("lat"), _json("$.lon").cast("double").alias("lon"), _json("$.tags['addr:type']").alias("kind"))
+
+
+@query(_WITH + """SELECT id, printf('%.7f', n) AS n, printf('%.7f', s) AS s, printf('%.7f', e) AS e, printf('%.7f', w) AS w, points AS nodes FROM boxes""")
+def way_record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.way_records(denormalise.denormalised_ways(ways(spark, sf_dir), nodes(spark, sf_dir)), True)
+    listed = F.size(F.from_json(_json("$.nodes"), "array<struct<lat: string, lon: string>>")).cast("long")
+    return made.select(_json("$.id").cast("long").alias("id"), *(_json(f"$.bounds.{c}").alias(c) for c in "nsew"), listed.alias("nodes"))
+
+
+@query(_WITH + """, sized AS (SELECT *, greatest(radians(e - w) * cos(radians((n + s) / 2)) * 6378137, 1e-6) * greatest(radians(n - s) * 6378137, 1e-6) AS area FROM kept)
+SELECT relation AS id, c_mktsegment = 'BUILDING' AS admin, printf('%.7f', n) AS n, printf('%.7f', w) AS w
+FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY round(area, 3) DESC, pos) AS k FROM sized) JOIN customer ON relation = c_custkey WHERE k = 1""")
+def relation_record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lines.relation_records(denormalise.denormalised_relations(relations(spark, sf_dir), ways(spark, sf_dir), nodes(spark, sf_dir)))
+    return made.select(_json("$.id").cast("long").alias("id"), (_json("$.tags.boundary") == "administrative").alias("admin"), _json("$.bounds.n").alias("n"), _json("$.bounds.w").alias("w"))
+
+
+@query(_WITH + """SELECT 'node' AS type, id FROM nodes WHERE p_size = 11 UNION ALL SELECT 'way', id FROM boxes
+UNION ALL SELECT DISTINCT 'relation', relation FROM kept JOIN customer ON relation = c_custkey WHERE c_mktsegment = 'BUILDING'""")
+def extract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole tool: only nodes that a wanted way or relation needs are joined."""
+    made = extracts.denormalised(nodes(spark, sf_dir), ways(spark, sf_dir), relations(spark, sf_dir), "boundary~administrative,kind~order,size~11")
+    return made.select(_json("$.type").alias("type"), _json("$.id").cast("long").alias("id"))
+
+
+@query("""SELECT c_name AS title,
+  CASE WHEN c_custkey % 5 = 1 THEN c_nationkey + 0.25 ELSE round((c_nationkey + 30 / 60::DOUBLE + (c_custkey % 60) / 3600::DOUBLE) * CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE -1 END, 9) END AS lat,
+  CASE WHEN c_custkey % 5 = 1 THEN -c_nationkey - 0.5 ELSE (c_custkey % 180) * -1::DOUBLE END AS lon FROM customer WHERE c_custkey % 5 IN (0, 1, 3)""")
+def page_point_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = pages.point_lines(pages.located(coordinate_pages(spark, sf_dir))[0])
+    return made.select(_json("$.properties.name").alias("title"), F.round(_json("$.geometry.coordinates[1]").cast("double"), 9).alias("lat"), _json("$.geometry.coordinates[0]").cast("double").alias("lon"))
+
+
+@query("""SELECT c_custkey AS id, c_name AS title, CASE WHEN c_custkey % 7 = 0 THEN 'no revision' ELSE 'bad coordinate: north|N|7|E' END AS reason
+FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 4""")
+def page_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that can't be placed; a seventh has no revision."""
+    rows = coordinate_pages(spark, sf_dir).withColumn("text", F.when(F.col("id") % 7 != 0, F.col("text")))
+    return pages.located(rows)[1]
+
+
+@query(_WITH + """SELECT id, lon AS lat, lon, (CASE WHEN entrance > 0 THEN 13 ELSE 12 END)::INT AS bytes, entrance::INT AS entrance, (CASE WHEN entrance > 0 THEN wheelchair ELSE 0 END)::INT AS wheelchair FROM all_nodes""")
+def point_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points as bytes and back; whole degrees keep all their bits."""
+    rows = denormalise.located(part_nodes(spark, sf_dir))
+    made = rows.select("id", codec.packed_point("lon", "lon", "entrance", "wheelchair").alias("data"))
+    return made.select("id", F.octet_length("data").alias("bytes"), codec.unpacked_point("data").alias("p")).select("id", "bytes", "p.*")
+
+
+@query(_WITH + """SELECT way AS id, string_agg(printf('%016X', node), '' ORDER BY pos) AS digits, true AS same FROM refs GROUP BY way""")
+def id_list_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = ways(spark, sf_dir).withColumn("data", codec.packed_ids(F.col("node_ids")))
+    return made.select("id", F.hex("data").alias("digits"), (codec.unpacked_ids(F.col("data")) == F.col("node_ids")).alias("same"))
+
+
+@query("""SELECT 'both' AS kept, count(*) AS n FROM part UNION ALL SELECT 'points', count(*) FROM part WHERE octet_length(encode(p_name)) <= 1
+UNION ALL SELECT 'tags', count(*) FROM part WHERE octet_length(encode(p_name)) > 1""")
+def map_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    counts = [a.union(b).agg(F.lit(k).alias("kept"), F.count("*").alias("n")) for k, (a, b) in {"both": maps.split(rows), "points": maps.split(rows, points=True), "tags": maps.split(rows, tags=True)}.items()]
+    return counts[0].union(counts[1]).union(counts[2])
+
+
+@query("""SELECT 'orders' AS name, count(DISTINCT l_orderkey) AS n FROM lineitem UNION ALL SELECT 'parts', count(DISTINCT l_partkey) FROM lineitem UNION ALL SELECT 'missing', 0""")
+def saved_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Id sets written and read again."""
+    items, path = _table(spark, sf_dir, "lineitem"), f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    aggregates.save(path, orders=aggregates.id_set(items, "l_orderkey"), parts=aggregates.id_set(items, "l_partkey"))
+    orders, parts, missing = aggregates.load(spark, path, "orders", "parts", "missing")
+    return aggregates.statistics(orders=orders, parts=parts, missing=missing)

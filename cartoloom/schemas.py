@@ -11,15 +11,6 @@ WAY = T.StructType([T.StructField("id", T.LongType()), T.StructField("tags", TAG
 RELATION = T.StructType([T.StructField("id", T.LongType()), T.StructField("tags", TAGS), T.StructField("members", T.ArrayType(MEMBER))])
 #: All kinds in one table, as a block of a binary extract has them.
 ENTITY = T.StructType([T.StructField("kind", T.StringType()), *NODE.fields, WAY["node_ids"], RELATION["members"]])
-POINT = T.StructType([T.StructField("lat", T.DoubleType()), T.StructField("lon", T.DoubleType()), T.StructField("entrance", T.IntegerType()), T.StructField("wheelchair", T.IntegerType())])
-FEATURE = T.StructType(
-    [
-        T.StructField("type", T.StringType()),
-        T.StructField("id", T.StringType()),
-        T.StructField("geometry", T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.ArrayType(T.DoubleType()))])),
-        T.StructField("properties", TAGS),
-    ]
-)
 #: One element of each XML dialect, for from_xml.
 XML_NODE = "_id string, _lat string, _lon string, tag array<struct<_k: string, _v: string>>"
 XML_PAGE = "title string, ns long, id long, revision array<struct<id: long, text: struct<_VALUE: string>>>"

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import time
+from typing import TextIO
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +65,26 @@ def write_lines(rows: DataFrame, path: str, compression: str | None = None) -> N
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
-def write_single(rows: DataFrame, path: str, strict: bool = False, compression: str | None = None) -> None:
+class Rate:
+    """Counts records and reports how many there are and how many come in a second, every so many and at the end."""
+
+    def __init__(self, to: TextIO, every: int = 10_000) -> None:
+        self.to, self.every, self.n, self.begun = to, every, 0, time.monotonic()
+        self.last = self.begun
+
+    def count(self) -> None:
+        self.n += 1
+        if self.n % self.every == 0:
+            now = time.monotonic()
+            print(f"{self.n:,} records so far ({self.every / max(now - self.last, 1e-9):.1f}/s)", file=self.to)
+            self.last = now
+
+    def end(self) -> None:
+        took = time.monotonic() - self.begun
+        print(f"{self.n:,} records in {took:.1f} s ({self.n / max(took, 1e-9):.1f}/s)", file=self.to)
+
+
+def write_single(rows: DataFrame, path: str, strict: bool = False, compression: str | None = None, rate: Rate | None = None) -> None:
     """One local file, streamed through the driver partition by partition, in the rows' order; strict: one JSON array."""
     import bz2
     import gzip
@@ -71,13 +92,15 @@ def write_single(rows: DataFrame, path: str, strict: bool = False, compression:
     kind = compression or ("gzip" if path.endswith(".gz") else "bz2" if path.endswith(".bz2") else "none")
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
     with {"none": open, "gzip": gzip.open, "bz2": bz2.open}[kind](path, "wt", encoding="utf-8") as f:
-        write_to(rows, f, strict)
+        write_to(rows, f, strict, rate)
 
 
-def write_to(rows: DataFrame, f, strict: bool = False) -> None:
+def write_to(rows: DataFrame, f: TextIO, strict: bool = False, rate: Rate | None = None) -> None:
     f.write("[\n" if strict else "")
     for k, row in enumerate(rows.select("value").toLocalIterator(prefetchPartitions=True)):
         f.write((",\n" if strict and k else "") + row.value + ("" if strict else "\n"))
+        if rate:
+            rate.count()
     f.write("\n]\n" if strict else "")
 
 

@@ -4,14 +4,12 @@ A file is a sequence of blobs of at most 32 MB, each decoded by itself. The read
 20 bytes each) and makes one partition of each run of blobs of about splitBytes; a task decodes its blobs with zlib and
 numpy and yields Arrow batches of the ENTITY schema. Filters on `kind` are taken over: groups of other kinds are skipped.
 
-Paths are files, or folders of *.pbf, that driver and executors can open.
+Paths are files, or folders of *.pbf, that driver and executors can open. A file without data has no entities.
 """
 
 from __future__ import annotations
 
-import glob
 import lzma
-import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +21,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from cartoloom.checkpoint import stored
 from cartoloom.schemas import ENTITY
+from cartoloom.sources import files
 
 KINDS = ("node", "way", "relation")
 MOST_BLOB = 32 << 20
@@ -87,9 +87,8 @@ def _signed(value: int) -> int:
 
 def blobs(path: str) -> Iterator[tuple[int, int, str]]:
     """(offset of the blob, size, type) of each blob of the file."""
-    with open(path, "rb") as f:
-        size = os.fstat(f.fileno()).st_size
-        at = 0
+    with files.opened(path) as f:
+        size, at = files.size(path), 0
         while at < size:
             f.seek(at)
             head = f.read(4)
@@ -211,7 +210,7 @@ class Blocks(InputPartition):
 
 class PbfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.paths = sorted(glob.glob(os.path.join(options["path"], "*.pbf"))) if os.path.isdir(options["path"]) else [options["path"]]
+        self.paths = files.listed(options["path"], "*.pbf")
         self.split = int(options.get("splitbytes", options.get("splitBytes", 64 << 20)))
         self.kinds = frozenset(options.get("kinds", ",".join(KINDS)).split(","))
 
@@ -230,7 +229,7 @@ class PbfReader(DataSourceReader):
             run: list[tuple[int, int]] = []
             for at, size, kind in blobs(path):
                 if kind == "OSMHeader":
-                    with open(path, "rb") as f:
+                    with files.opened(path) as f:
                         f.seek(at)
                         check_header(inflate(f.read(size)))
                 elif kind == "OSMData":
@@ -240,10 +239,12 @@ class PbfReader(DataSourceReader):
                         run = []
             if run:
                 out.append(Blocks(path, run))
-        return out
+        return out or [Blocks("", [])]  # Spark wants one at least
 
     def read(self, partition: Blocks) -> Iterator[pa.RecordBatch]:
-        with open(partition.path, "rb") as f:
+        if not partition.ranges:
+            return
+        with files.opened(partition.path) as f:
             for at, size in partition.ranges:
                 f.seek(at)
                 columns = decode(inflate(f.read(size)), self.kinds)
@@ -268,7 +269,12 @@ def read_entities(spark: SparkSession, path: str, kinds: tuple[str, ...] = KINDS
     return spark.read.format("osmpbf").option("kinds", ",".join(kinds)).option("splitBytes", str(split_bytes)).load(path)
 
 
-def read_kinds(spark: SparkSession, path: str, **options: Any) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, ways and relations; each scan decodes only the groups of its kind."""
-    nodes, ways, relations = (read_entities(spark, path, (k,), **options) for k in KINDS)
+def split_kinds(entities: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, ways and relations."""
+    nodes, ways, relations = (entities.where(F.col("kind") == k) for k in KINDS)
     return nodes.select("id", "lat", "lon", "tags"), ways.select("id", "tags", "node_ids"), relations.select("id", "tags", F.coalesce("members", F.array()).alias("members"))
+
+
+def read_kinds(spark: SparkSession, path: str, **options: Any) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, ways and relations; the file is decoded once, into a table in the shared folder with a part for each kind."""
+    return split_kinds(stored(read_entities(spark, path, **options), "kind"))

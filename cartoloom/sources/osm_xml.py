@@ -23,9 +23,3 @@ def parse_nodes(xml: DataFrame) -> DataFrame:
 def read_nodes(spark: SparkSession, path: str, compression: str = "auto", split_bytes: int = 64 << 20) -> DataFrame:
     reader = spark.read.format("xmlrecords").option("rowTag", "node").option("compression", compression).option("splitBytes", str(split_bytes))
     return parse_nodes(reader.load(path))
-
-
-def read_nodes_builtin(spark: SparkSession, path: str) -> DataFrame:
-    """The same with Spark's own XML source, for any Hadoop file system: one task for each file."""
-    rows = spark.read.format("xml").option("rowTag", "node").schema(XML_NODE).load(path)
-    return rows.select(*_columns(F.struct("*")))

@@ -17,9 +17,3 @@ def parse_pages(xml: DataFrame) -> DataFrame:
 def read_pages(spark: SparkSession, path: str, index: str | None = None, compression: str = "auto", split_bytes: int = 64 << 20) -> DataFrame:
     reader = spark.read.format("xmlrecords").option("rowTag", "page").option("compression", compression).option("splitBytes", str(split_bytes))
     return parse_pages((reader.option("index", index) if index else reader).load(path))
-
-
-def read_pages_builtin(spark: SparkSession, path: str) -> DataFrame:
-    """The same with Spark's own XML source, for any Hadoop file system."""
-    rows = spark.read.format("xml").option("rowTag", "page").option("ignoreSurroundingSpaces", "false").schema(XML_PAGE).load(path)
-    return rows.select("id", "title", "ns", F.get("revision", F.lit(0))["text"]["_VALUE"].alias("text"))

@@ -3,27 +3,27 @@
 Spark's own XML source reads a file in one task. This one cuts plain files into byte ranges: a task takes the elements that
 begin in its range and reads beyond its end to finish the last. Compressed files are one partition each, but for multistream
 bz2 with its index, where each run of streams is one. An element that the file cuts off is dropped, and what came before
-stays. Elements of the same name don't nest in the formats that are read, and `<` is escaped in their texts.
+stays. Elements of the same name don't nest in the formats that are read, and `<` is escaped in their texts. An empty file
+has no elements, as an empty folder.
 
-Options: path (a file, a folder, a glob, or - for standard input), rowTag, splitBytes, compression (auto, none, gzip, bz2),
-index (of a multistream file). Paths must be open to driver and executors.
+Options: path (a file, a folder, or a path with wildcards in its last part), rowTag, splitBytes, compression (auto, none,
+gzip, bz2), index (of a multistream file). Paths must be open to driver and executors.
 """
 
 from __future__ import annotations
 
 import bz2
-import glob
 import gzip
-import os
+import io
 import re
-import sys
-import tempfile
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from cartoloom.sources import files
+
 BLOCK = 1 << 20
 
 
@@ -39,41 +39,45 @@ def codec_of(path: str, forced: str = "auto") -> str:
 
 
 def opened(path: str, codec: str) -> BinaryIO:
-    return {"none": open, "gzip": gzip.open, "bz2": bz2.open}[codec](path, "rb")
+    plain = files.opened(path)
+    return gzip.GzipFile(fileobj=plain) if codec == "gzip" else bz2.BZ2File(plain) if codec == "bz2" else plain
 
 
-def elements(f: BinaryIO, tag: str, start: int = 0, end: int | None = None) -> Iterator[bytes]:
-    """The elements whose `<` is at start or later and before end, counted from where f begins."""
-    head, close = re.compile(rb"<" + tag.encode() + rb"(?=[\s/>])"), b"</" + tag.encode() + b">"
+def element_lists(f: BinaryIO, tag: str, start: int = 0, end: int | None = None) -> Iterator[list[bytes]]:
+    """The elements whose `<` is at start or later and before end, counted from where f begins, block by block.
+
+    The pattern takes whole elements, and of one that the block cuts off only the head. ">" is &gt; in the formats' values.
+    """
+    name = re.escape(tag.encode())
+    one = re.compile(rb"<" + name + rb"(?=[\s/>])(?:[^>]*(?:(?<=/)>|(?<!/)>.*?</" + name + rb">))?", re.DOTALL)
+    bare, keep = len(tag) + 1, len(tag) + 2
     f.seek(start)
     buffer, base = b"", start
-    while True:
-        found = head.search(buffer)
-        while found is None:
-            keep = len(tag) + 2
-            more = f.read(BLOCK)
-            if not more or end is not None and base + max(0, len(buffer) - keep) >= end:
+    while more := f.read(max(BLOCK, len(buffer))):  # twice as much where an element is longer than what is there
+        buffer += more
+        found = one.findall(buffer)
+        whole = next((k for k, x in enumerate(found) if len(x) == bare), len(found))
+        cut = whole < len(found)
+        rest = max(0, len(buffer) - keep)
+        if cut or end is not None and base + len(buffer) > end:
+            starts = [m.start() for m in one.finditer(buffer)]
+            inside = len(starts) if end is None else sum(base + s < end for s in starts)
+            if inside <= whole and (inside < len(found) or end is not None and base + rest >= end):
+                yield found[:inside]
                 return
-            base += max(0, len(buffer) - keep)
-            buffer = buffer[-keep:] + more
-            found = head.search(buffer)
-        at = found.start()
-        if end is not None and base + at >= end:
-            return
-        # the head may hold ">" in a quoted value only as &gt; in these formats
-        while (stop := buffer.find(b">", at)) < 0 or buffer[stop - 1 : stop] != b"/" and buffer.find(close, stop) < 0:
-            more = f.read(BLOCK)
-            if not more:
-                return  # cut off
-            buffer += more
-        stop = stop + 1 if buffer[stop - 1 : stop] == b"/" else buffer.find(close, stop) + len(close)
-        yield buffer[at:stop]
-        base, buffer = base + stop, buffer[stop:]
+            rest = starts[whole] if cut else rest
+        yield found[:whole]
+        base, buffer = base + rest, buffer[rest:]
+
+
+def elements(f: BinaryIO, tag: str, start: int = 0, end: int | None = None) -> Iterator[bytes]:
+    for found in element_lists(f, tag, start, end):
+        yield from found
 
 
 def streams(path: str, start: int, end: int | None) -> bytes:
     """The text of the bz2 streams from one offset to another."""
-    with open(path, "rb") as f:
+    with files.opened(path) as f:
         f.seek(start)
         return bz2.decompress(f.read() if end is None else f.read(end - start))
 
@@ -84,54 +88,48 @@ def stream_offsets(index: str) -> list[int]:
         return sorted({int(line.split(b":", 1)[0]) for line in f if line.strip()})
 
 
+def texts(rows: list[bytes]) -> pa.RecordBatch:
+    """The rows as text; bytes that aren't UTF-8 are replaced."""
+    try:
+        column = pa.array(rows, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        column = pa.array([row.decode("utf-8", "replace") for row in rows], pa.string())
+    return pa.RecordBatch.from_arrays([column], ["xml"])
+
+
 class XmlReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         low = {k.lower(): v for k, v in options.items()}
         self.path, self.tag, self.index = low["path"], low["rowtag"], low.get("index")
         self.split, self.forced = int(low.get("splitbytes", 64 << 20)), low.get("compression", "auto")
 
-    def paths(self) -> list[str]:
-        if self.path == "-":
-            with tempfile.NamedTemporaryFile(delete=False, suffix=".xml") as f:  # one machine: standard input is the driver's
-                while block := sys.stdin.buffer.read(BLOCK):
-                    f.write(block)
-            return [f.name]
-        return sorted(glob.glob(os.path.join(self.path, "*")) if os.path.isdir(self.path) else glob.glob(self.path) or [self.path])
-
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
-        for path in self.paths():
-            size = os.path.getsize(path)
+        for path in files.listed(self.path):
             if self.index:
                 offsets = stream_offsets(self.index)
                 runs = [o for k, o in enumerate(offsets) if k == 0 or o // self.split != offsets[k - 1] // self.split]
                 out += [Range(path, a, b, "multi") for a, b in zip(runs, [*runs[1:], None])]
             elif (codec := codec_of(path, self.forced)) == "none":
-                out += [Range(path, a, a + self.split, codec) for a in range(0, size, self.split)]
+                out += [Range(path, a, a + self.split, codec) for a in range(0, files.size(path), self.split)]
             else:
                 out.append(Range(path, 0, None, codec))
-        return out
+        return out or [Range("", 0, 0, "empty")]  # Spark wants one at least
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        import io
-
-        f = io.BytesIO(streams(partition.path, partition.start, partition.end)) if partition.codec == "multi" else opened(partition.path, partition.codec)
-        start, end = (0, None) if partition.codec == "multi" else (partition.start, partition.end)
-        rows: list[str] = []
-        size = 0
+        if partition.codec == "empty":
+            return
+        whole = partition.codec == "multi"
+        f = io.BytesIO(streams(partition.path, partition.start, partition.end)) if whole else opened(partition.path, partition.codec)
+        start, end = (0, None) if whole else (partition.start, partition.end)
         try:
-            for row in elements(f, self.tag, start, end):
-                rows.append(row.decode("utf-8", "replace"))
-                size += len(row)
-                if size > 4 * BLOCK:
-                    yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["xml"])
-                    rows, size = [], 0
+            for found in element_lists(f, self.tag, start, end):
+                if found:
+                    yield texts(found)
         except EOFError:
             pass  # a compressed file that is cut off: what could be read stays
         finally:
             f.close()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string())], ["xml"])
 
 
 class XmlRecords(DataSource):

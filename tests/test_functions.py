@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,6 +118,61 @@ def test_texts_and_numbers(spark):
     assert [r.a for r in got] == ["Ünï code x ½ 12", "", "", None]
     assert [r.b for r in got] == [["Ünï", "code", "x", "½", "12"], [], [], None]
     one = spark.createDataFrame([(1.00000005, "é")], "x double, s string")
-    assert one.select(text.seven_decimals("x")).first()[0] == "1.0000000"
+    assert one.select(text.seven_decimals(F.col("x"))).first()[0] == "1.0000000"
     assert one.select(text.byte_length(F.col("s"))).first()[0] == 3
     assert bytes(one.select(text.nul_terminated(F.col("s"))).first()[0]) == "é\0".encode()
+
+
+# a street and a block, in millionths of a degree: (lat, lon) less 40.7 and -73.9
+STREET = [(19743, 101559), (21679, 99914), (24195, 97783), (24745, 97318), (25375, 96797), (27239, 95203), (28737, 93927), (30535, 92407), (31566, 91545), (31843, 91417), (34738, 90745), (37495, 90199), (39735, 89630), (41459, 89370), (42233, 89219), (43025, 89119), (45262, 88699), (49446, 87904), (52149, 87417), (54016, 86938), (54345, 86833), (55897, 86321), (56513, 86117), (57348, 85720), (57980, 85433), (60503, 83607), (65504, 79957), (66480, 79264)]
+BLOCK = [(40760, 89605), (40762, 89615), (40763, 89619), (40864, 89855), (40867, 89859), (40874, 89866), (40882, 89870), (40891, 89872), (40899, 89870), (40907, 89865), (41288, 89584), (41294, 89575), (41298, 89564), (41300, 89559), (41300, 89547), (41299, 89535), (41297, 89529), (41293, 89519), (41290, 89514), (41283, 89507), (41265, 89501), (40776, 89570), (40770, 89575), (40765, 89581), (40761, 89590), (40760, 89595), (40760, 89605)]
+
+
+def degrees(rows):
+    return [((40_700_000 + a) / 1e6, -(73_900_000 + b) / 1e6) for a, b in rows]
+
+
+def test_golden_street(spark):
+    df = spark.createDataFrame([(points(*degrees(STREET)),)], f"p {POINTS}")
+    got = df.select(geo.line_centroid(F.col("p")).alias("c")).first().c
+    assert (got.lat, got.lon) == (pytest.approx(40.74239780132512, abs=1e-12), pytest.approx(-73.98919819175188, abs=1e-12))
+
+
+def test_golden_block(spark):
+    df = spark.createDataFrame([(points(*degrees(BLOCK)),)], f"p {POINTS}")
+    got = df.select(geo.polygon_centroid(F.col("p")).alias("c")).first().c
+    assert (got.lat, got.lon) == (pytest.approx(40.74101953854348, abs=1e-7), pytest.approx(-73.9896438848581, abs=1e-7))
+
+
+def test_golden_bytes(spark):
+    """Points and id lists as bytes, by the scalar functions and by the column ones."""
+    rows = [(-50.0, 77.0, 0, 0, "c04900000000405340000000"), (-50.555555555, 77.777777777, 0, 0, "c049471c71c5405371c71c70"), (-50.0, 77.0, 2, 2, "c04900000000405340000000a0")]
+    for lat, lon, e, w, want in rows:
+        assert codec.pack_point(lat, lon, e, w).hex() == want
+        a, b, *flags = codec.unpack_point(bytes.fromhex(want))
+        assert (f"{a:.7f}", f"{b:.7f}", flags) == (f"{lat:.7f}", f"{lon:.7f}", [e, w])
+    df = spark.createDataFrame(rows, "lat double, lon double, e int, w int, want string")
+    made = df.select("want", codec.packed_point("lat", "lon", "e", "w").alias("data"))
+    assert all(bytes(r.data).hex() == r.want for r in made.collect())
+    assert [tuple(r.p)[2:] for r in made.select(codec.unpacked_point("data").alias("p")).collect()] == [(0, 0), (0, 0), (2, 2)]
+    ids = [0, 100, 100_000, 100_000_000, 2**63 - 1, -1, -(2**63)]
+    assert codec.unpack_ids(codec.pack_ids(ids)) == ids
+    lists = spark.createDataFrame([(ids,), ([],), (None,)], "ids array<bigint>").select("ids", codec.packed_ids(F.col("ids")).alias("data"))
+    for r in lists.select("ids", "data", codec.unpacked_ids(F.col("data")).alias("again")).collect():
+        assert r.again == r.ids and (None if r.data is None else bytes(r.data)) == (None if r.ids is None else codec.pack_ids(r.ids))
+    with pytest.raises(Exception, match="multiple of 8"):
+        spark.sql("SELECT X'0011' AS data").select(codec.unpacked_ids(F.col("data"))).collect()
+
+
+def test_seven_places_are_those_of_the_exact_value(spark):
+    r = random.Random(3)
+    values = [r.uniform(-180, 180) for _ in range(4000)] + [r.randint(-(10**9), 10**9) / 2**r.randint(0, 40) for _ in range(2000)]
+    values += [(2 * k + 1) / 2**8 / 5**7 / 2 for k in range(500)] + [k / 1e7 + 5e-8 for k in range(-500, 500)] + [k / 128 for k in range(-300, 300)]
+    values += [0.0, -0.0, -1e-9, 1e-9, 5e-8, 1.5e-7, 2.5e-7, 0.5**8, 123456789.123456789, -180.0, 8.9e8, float("nan"), None]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for v, got, near in rows.select("v", text.seven_decimals(F.col("v")), text.round_coordinate(F.col("v"))).collect():
+        if v is None or v != v:
+            assert got is None
+        else:
+            assert got == f"{v:.7f}" and near == float(f"{v:.7f}"), v
+    assert "Python" not in rows.select(text.seven_decimals(F.col("v")))._jdf.queryExecution().executedPlan().toString()

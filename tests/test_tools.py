@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bz2
 import gzip
+import io
 import json
 import struct
 import zlib
@@ -12,10 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from cartoloom import cli
-from cartoloom.operators import denormalise
+from cartoloom.functions import tags
+from cartoloom.operators import aggregates, denormalise
 from cartoloom.plans import extracts, maps, pages
 from cartoloom.sinks import lines
-from cartoloom.sources import geojson_lines, osm_pbf, osm_xml, wiki_xml
+from cartoloom.sources import geojson_lines, osm_pbf, osm_xml, wiki_xml, xml_records
 from cartoloom.streaming import stateless
 
 OSM = """<?xml version="1.0"?>
@@ -57,7 +59,7 @@ def test_pages(spark, tmp_path):
     points, errors = pages.page_point_lines(spark, str(tmp_path / "w.xml"))
     (line,) = [json.loads(r.value) for r in points.collect()]
     assert line["properties"]["name"] == "A & B" and line["geometry"]["coordinates"] == [pytest.approx(2.35), pytest.approx(48.85)]
-    assert {r.id: r.reason for r in errors.collect()} == {3: "bad coordinate: X|Y", 4: "no revision"}
+    assert {r.id: r.reason for r in errors.collect()} == {3: "bad coordinate: x|y", 4: "no revision"}
     tokens = [r.value for r in pages.page_token_lines(spark, str(tmp_path / "w.xml"), limit=2).collect()]
     assert sorted(tokens) == ["1\tParis coord 48 51 N 2 21 E", "2\tüber x y"]
 
@@ -248,6 +250,120 @@ def test_command_line(extract, tmp_path, capsys):
     assert len(json.loads(capsys.readouterr().out)) == 3
 
 
+class Input:
+    """Stands for standard input."""
+
+    def __init__(self, data):
+        self.buffer = io.BytesIO(data)
+
+
+@pytest.mark.parametrize(
+    ("arguments", "data", "want"),
+    [
+        (["osm"], OSM.encode(), 3),
+        (["osm", "-"], b"", 0),
+        (["osm", "--compression", "gzip", "-"], gzip.compress(OSM.encode()), 3),
+        (["wiki-points", "-"], WIKI.encode(), 1),
+        (["wiki-tokens", "--limit", "3", "-"], WIKI.encode(), 3),
+        (["wiki-tokens", "-"], b"", 0),
+        (["extract", "-"], None, 12),
+    ],
+)
+def test_tools_read_standard_input(spark, monkeypatch, capsys, arguments, data, want):
+    monkeypatch.setattr("sys.stdin", Input(pbf(NODES, WAYS, RELATIONS) if data is None else data))
+    assert cli.main(arguments) == 0
+    out = capsys.readouterr()
+    assert len(out.out.splitlines()) == want and f"{want:,} records in" in out.err
+
+
+def test_map_reads_standard_input_and_tools_make_a_pipe(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr("sys.stdin", Input(OSM.encode()))
+    assert cli.main(["osm"]) == 0
+    monkeypatch.setattr("sys.stdin", Input(capsys.readouterr().out.encode()))
+    assert cli.main(["map", "--outFile", str(tmp_path / "m"), "--verbose"]) == 0
+    assert (tmp_path / "m.tag_text").read_bytes() == b"FAIL\0last\0" and len((tmp_path / "m.map_points").read_bytes()) == 32
+    monkeypatch.setattr("sys.stdin", Input(b"{oops\n"))
+    assert cli.main(["map", "--outFile", str(tmp_path / "n"), "--verbose", "-"]) == 0
+    assert "not JSON: {oops" in capsys.readouterr().err
+
+
+def test_inputs_without_anything(spark, tmp_path):
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "e.osm").write_bytes(b"")
+    (tmp_path / "e.pbf").write_bytes(_blob(b"OSMHeader", _field(4, b"OsmSchema-V0.6")))
+    assert osm_xml.read_nodes(spark, str(tmp_path / "e.osm")).count() == 0
+    assert osm_xml.read_nodes(spark, str(tmp_path / "folder")).count() == 0
+    assert osm_pbf.read_entities(spark, str(tmp_path / "e.pbf")).count() == 0
+    assert extracts.extract_lines(spark, str(tmp_path / "e.pbf"), None).count() == 0
+
+
+def test_uris_and_wildcards(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"a{k}.osm").write_text(OSM)
+    (tmp_path / "a.pbf").write_bytes(pbf(NODES, WAYS, RELATIONS))
+    assert osm_xml.read_nodes(spark, f"{tmp_path}/a*.osm").count() == 9
+    assert osm_xml.read_nodes(spark, f"file://{tmp_path}/a1.osm", split_bytes=50).count() == 3
+    assert osm_pbf.read_entities(spark, f"file://{tmp_path}/a.pbf").count() == len(NODES) + len(WAYS) + len(RELATIONS)
+    assert osm_pbf.read_entities(spark, f"file://{tmp_path}").count() == len(NODES) + len(WAYS) + len(RELATIONS)
+
+
+def test_elements_at_any_border():
+    """Blocks and ranges of any size give each element once."""
+    parts = [b'<node id="1"/>', b"x", b'<node id="2"><tag k="a" v="b"/></node>', b"<nodes/>", b"<node>" + b"y" * 300 + b"</node>", b"<way/>", b"<node />", b'<node id="9" lat']
+    data, want = b"".join(parts), [p for p in parts[:-1] if p[:6] in (b"<node ", b"<node>")]
+    for block in (1, 7, 64, 1 << 20):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(xml_records, "BLOCK", block)
+            for split in (1, 13, 100, 1 << 20):
+                found = [x for a in range(0, len(data), split) for x in xml_records.elements(io.BytesIO(data), "node", a, a + split)]
+                assert found == want, (block, split)
+
+
+def test_an_extract_is_decoded_once_and_in_the_jvm(spark, extract):
+    plan = extracts.extract_lines(spark, extract, None)._jdf.queryExecution().executedPlan().toString()
+    assert "osmpbf" not in plan.lower() and "Python" not in plan and "Pandas" not in plan
+
+
+def test_finer_coordinates_are_rounded(spark):
+    rows = spark.createDataFrame([(1, 0.12345674999, -0.12345675001, {})], "id long, lat double, lon double, tags map<string,string>")
+    assert tuple(denormalise.located(rows, True).first())[1:3] == (0.1234567, -0.1234568)
+
+
+def test_streams_of_nodes_and_page_points(spark, tmp_path):
+    for name, text in (("osm", OSM.rsplit(" <node", 1)[0] + "</osm>"), ("wiki", WIKI)):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.xml").write_text(text)
+    points, errors = stateless.stream_page_points(spark, str(tmp_path / "wiki"))
+    rows = {"nodes": stateless.stream_node_lines(spark, str(tmp_path / "osm")), "points": points, "errors": errors.select(F.col("reason").alias("value"))}
+    for name, df in rows.items():
+        stateless.write_lines(df, str(tmp_path / f"out-{name}"), str(tmp_path / f"state-{name}")).awaitTermination(120)
+    assert {n: spark.read.text(str(tmp_path / f"out-{n}")).count() for n in rows} == {"nodes": 3, "points": 1, "errors": 2}
+
+
+def test_a_value_selects_a_part_of_several(spark):
+    """Rows of one value are those of several values that have it."""
+    rows = spark.createDataFrame([(k, {"amenity": v}) for k, v in enumerate(["toilets", "kindergarten", "school", "toilets", "Toilets"])] + [(9, {})], "id long, tags map<string,string>")
+    several = rows.where(tags.matches(F.col("tags"), "amenity~toilets,amenity~kindergarten"))
+    one = rows.where(tags.matches(F.col("tags"), "amenity~toilets"))
+    assert {r.id for r in several.collect()} == {0, 1, 3}
+    assert one.collect() == several.where("tags['amenity'] = 'toilets'").collect() and one.count() == 2
+
+
+def test_sets_that_are_empty(spark):
+    ids = spark.createDataFrame([(1,), (1,), (None,)], "id long")
+    assert not aggregates.is_empty(aggregates.id_set(ids)) and aggregates.is_empty(aggregates.id_set(ids.where("id > 1")))
+
+
+def test_rates_are_reported():
+    to = io.StringIO()
+    rate = lines.Rate(to, every=2)
+    for _ in range(5):
+        rate.count()
+    rate.end()
+    said = to.getvalue().splitlines()
+    assert [x.split(" (")[0] for x in said[:2]] == ["2 records so far", "4 records so far"] and said[2].startswith("5 records in")
+
+
 def test_error_rows_keep_the_line(spark):
     _, errors = geojson_lines.parse_lines(spark.createDataFrame([(x,) for x in GEO], "value string"))
     assert {r.line for r in errors.collect()} == {"{oops", '{"type":"Feature","properties":{"name":5}}'}
