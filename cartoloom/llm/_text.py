@@ -60,11 +60,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str | int = "text", limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of at most limit bytes of text, but at least one row: they bound the working memory."""
     if batch.num_rows == 0:
         return
-    lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths)
     at = 0
     while at < batch.num_rows:

@@ -347,7 +347,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str | None = None) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, at):
                 spans, data, offsets = find(piece.column(at), field)
                 changed = np.unique(spans.row).tolist()
                 if changed:

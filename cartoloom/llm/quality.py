@@ -141,7 +141,7 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in T.pieces(batch):
+            for piece in T.pieces(batch, text):
                 yield piece.filter(pa.array(shared.value.probability(piece.column(text)) >= KEEP))
 
     return mapped(docs, run)
