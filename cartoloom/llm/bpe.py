@@ -22,7 +22,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: Pre-tokens that a worker remembers; when there are more it forgets all and starts again.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 
 def _class(code: int) -> int:
@@ -40,6 +40,19 @@ def _classes() -> np.ndarray:
     return np.fromiter(map(_class, range(0x10000)), np.uint8, 0x10000)
 
 
+@functools.cache
+def _mixed() -> np.ndarray:
+    return T.mix(np.arange(0x10000, dtype=T.U) + T.U(1))
+
+
+def _scrambled(code: np.ndarray) -> np.ndarray:
+    """T.mix of each code point and one, from a table for all but the rare high ones."""
+    out = _mixed()[np.minimum(code, 0xFFFF)]
+    high = np.flatnonzero(code > 0xFFFF)
+    out[high] = T.mix(code[high].astype(T.U) + T.U(1))
+    return out
+
+
 def pre_tokens(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Starts of the pre-tokens of the code points; offsets are the borders of the rows."""
     n = len(code)
@@ -81,7 +94,8 @@ class Bpe:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        # hashes of the known pre-tokens in order, and their places among them as they were learnt
+        self.known, self.place = np.zeros(0, T.U), np.zeros(0, np.int64)
         self.flat, self.begin = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _learn(self, pre_tokens: list[str]) -> None:
@@ -95,26 +109,30 @@ class Bpe:
         data, offsets = T.raw(texts)
         text = data.tobytes().decode("utf-8")
         code = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        lead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-        rows = lead[offsets]
+        rows = offsets - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), offsets)
         start = pre_tokens(code, rows)
         end = np.r_[start[1:], len(code)] if len(start) else start
         up, down = T.powers(len(code))
         sums = np.zeros(len(code) + 1, T.U)
-        np.cumsum(T.mix(code.astype(T.U) + T.U(1)) * up[: len(code)], out=sums[1:])
+        np.cumsum(_scrambled(code) * up[: len(code)], out=sums[1:])
         hashes = T.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(T.U))
         back, distinct = pd.factorize(hashes)
         if len(self.known) + len(distinct) > REMEMBERED:
             self._forget()
-        known = self.known
-        at = np.fromiter((known.get(h, -1) for h in distinct.tolist()), np.int64, len(distinct))
-        new = np.flatnonzero(at < 0)
+        order = np.argsort(distinct)  # neighbours are looked up one after another
+        asked = distinct[order]
+        slot = np.searchsorted(self.known, asked)
+        at = np.empty(len(distinct), np.int64)
+        there = np.append(self.known, T.U(0))[slot] == asked if len(self.known) else np.zeros(len(asked), bool)
+        there &= slot < len(self.known)
+        at[order[there]] = self.place[slot[there]]
+        new = order[~there]
         if len(new):
             first = np.empty(len(distinct), np.int64)
             first[back[::-1]] = np.arange(len(back))[::-1]
-            at[new] = np.arange(len(known), len(known) + len(new))
-            known.update(zip(distinct[new].tolist(), at[new].tolist()))
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.place = np.insert(self.place, slot[~there], at[new])
+            self.known = np.insert(self.known, slot[~there], distinct[new])
             self._learn([text[a:b] for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist())])
         return at[back], np.searchsorted(start, rows)
 
