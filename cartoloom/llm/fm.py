@@ -105,24 +105,25 @@ def fit(x: Sparse, y: np.ndarray, steps: int = 100, seed: int = 3) -> Model:
     stats = x.value[(x.index >= WORDS) & (x.index < WORDS + STATS)].reshape(-1, STATS)
     mean, spread = stats.mean(0), stats.std(0) + 1e-6
     ids, x = compact(Model(0.0, np.zeros(0), np.zeros(0), mean, spread).scaled(x))
-    # every row has its statistics, so no row is empty; sorted by index, sums over a feature's occurrences are segments, too
-    value, row, by_row = x.value.astype(np.float32)[:, None], x.row, x.offsets[:-1]
-    order = np.argsort(x.index, kind="stable")
-    by_index = np.searchsorted(x.index[order], np.arange(len(ids)))
+    # dimension by dimension: its values lie in a row. Every text has its statistics, so none is empty
+    value, row, begin = x.value.astype(np.float32), x.row, x.offsets[:-1]
 
     def grad(w: list[np.ndarray]) -> list[np.ndarray]:
         bias, linear, factors = w
-        v = factors.astype(np.float32)[x.index] * value
-        sums = np.add.reduceat(v, by_row, axis=0)
-        pairs = (sums**2 - np.add.reduceat(v * v, by_row, axis=0)).sum(1)
-        g = (sigmoid(bias[0] + x.dot(linear) + 0.5 * pairs) - y) / len(y)
-        each = (g.astype(np.float32)[row, None] * value) * (sums[row] - v)
-        return [np.array([g.sum()]), x.back(g, len(ids)) + 1e-6 * linear, np.add.reduceat(each[order], by_index, axis=0) + 1e-6 * factors]
-
-    start = np.random.default_rng(seed).normal(0, 0.01, (SIZE, RANK))[ids]
+        parts, sums, z = [], [], bias[0] + x.dot(linear)
+        for f in factors.astype(np.float32):
+            parts.append(f[x.index] * value)
+            sums.append(np.add.reduceat(parts[-1], begin))
+            z += 0.5 * (sums[-1] ** 2 - np.add.reduceat(parts[-1] ** 2, begin))
+        g = (sigmoid(z) - y) / len(y)
+        each = g.astype(np.float32)[row] * value
+        own = [np.bincount(x.index, each * (s[row] - v), len(ids)) for s, v in zip(sums, parts)]
+        return [np.array([g.sum()]), x.back(g, len(ids)) + 1e-6 * linear, np.stack(own) + 1e-6 * factors]
+
+    start = np.ascontiguousarray(np.random.default_rng(seed).normal(0, 0.01, (SIZE, RANK))[ids].T)
     bias, own_linear, own_factors = adam(grad, [np.zeros(1), np.zeros(len(ids)), start], steps, 0.03)
     linear, factors = np.zeros(SIZE, np.float32), np.zeros((SIZE, RANK), np.float32)
-    linear[ids], factors[ids] = own_linear, own_factors
+    linear[ids], factors[ids] = own_linear, own_factors.T
     return Model(float(bias[0]), linear, factors, mean, spread)
 
 
