@@ -134,10 +134,12 @@ def word_hash(word: str) -> int:
 
 
 def segment_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Sums of values over the rows given by offsets; 0 for empty rows."""
-    sums = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
-    np.cumsum(values, axis=0, out=sums[1:])
-    return sums[offsets[1:]] - sums[offsets[:-1]]
+    """Sums of values over the rows given by offsets, which cover all values; 0 for empty rows."""
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]), np.float64)
+    some = offsets[1:] > offsets[:-1]
+    if some.any():
+        out[some] = np.add.reduceat(values, offsets[:-1][some], axis=0, dtype=np.float64)
+    return out
 
 
 def char_offsets(data: np.ndarray, base: int, at: np.ndarray) -> np.ndarray:
