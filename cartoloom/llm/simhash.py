@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,21 +37,28 @@ SEGMENTS = ((0, 0, 21), (0, 21, 21), (0, 42, 22), (1, 0, 21), (1, 21, 21), (1, 4
 BUDGETS = (2, 2, 2, 2, 2, 1)
 
 
+#: For each byte its bits, a byte for each, as one number.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(T.U).ravel()
+
+
 def fingerprint_batch(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have words, their fingerprints as two columns of uint64)."""
     w = T.words(texts)
     if len(w.hash) == 0:
         return np.zeros(0, np.int64), np.zeros((0, 2), T.U)
-    order = np.lexsort((w.hash, w.row))
-    h, row = w.hash[order], w.row[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
-    h, row = h[new], row[new]
+    which, words = pd.factorize(w.hash)
+    at, found = pd.factorize(w.row * len(words) + which)
+    first = np.empty(len(found), np.int64)  # the first place of each distinct word of each row, in order
+    first[at[::-1]] = np.arange(len(at))[::-1]
+    h, row = w.hash[first], w.row[first]
     starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
     sizes = np.diff(np.r_[starts, len(row)])
     both = np.stack([h, T.mix(h ^ T.U(0xA5A5A5A5DEADBEEF))], axis=1)
-    bits = np.unpackbits(both.view(np.uint8).reshape(len(h), 16), axis=1)
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+    # eight counters to a number: sums of at most 255 words don't run over, and are then added up apart
+    counters = _SPREAD[both.view(np.uint8).reshape(len(h), 16)]
+    parts = np.flatnonzero((np.arange(len(h)) - np.repeat(starts, sizes)) % 255 == 0)
+    some = np.add.reduceat(counters, parts, axis=0).view(np.uint8).reshape(len(parts), 128)
+    ones = np.add.reduceat(some, np.searchsorted(parts, starts), axis=0, dtype=np.int32)
     packed = np.packbits(2 * ones > sizes[:, None], axis=1)
     return row[starts], packed.view(T.U).reshape(-1, 2)
 

@@ -249,8 +249,9 @@ def tagged(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, list[
     w = T.words(texts)
     p = model.marginals(w)
     n = len(w.offsets) - 1
-    score = np.zeros(n)
-    np.maximum.at(score, w.row, p)
+    score, some = np.zeros(n), np.diff(w.offsets) > 0
+    if some.any():
+        score[some] = np.maximum.reduceat(p, w.offsets[:-1][some])
     spans: list[list[dict]] = [[] for _ in range(n)]
     hit = np.flatnonzero(p >= SPAN)
     if len(hit):
