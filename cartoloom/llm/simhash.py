@@ -111,7 +111,8 @@ def near_pairs(distinct: DataFrame) -> DataFrame:
     # each unordered pair, and each way in which its segments can meet, once
     once = (F.col("a_flip") < F.col("b_flip")) | ((F.col("a_flip") == -1) & (F.col("b_flip") == -1))
     ordered = (F.col("a_h1") < F.col("b_h1")) | ((F.col("a_h1") == F.col("b_h1")) & (F.col("a_h2") < F.col("b_h2")))
-    joined = a.join(b, "key").where(once & ordered & chains)
+    # the estimate of a side's size knows nothing of the 134 rows, so a table in files is soon taken for small enough to broadcast
+    joined = a.join(b.hint("merge"), "key").where(once & ordered & chains)
     distance = F.bit_count(x[0]) + F.bit_count(x[1])
     return joined.select(F.col("a_h1").alias("a1"), F.col("a_h2").alias("a2"), F.col("b_h1").alias("b1"), F.col("b_h2").alias("b2"), distance.cast("int").alias("distance")).distinct()
 

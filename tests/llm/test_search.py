@@ -85,6 +85,15 @@ def test_pairs_at_the_border_are_found(spark):
     assert got == want
 
 
+def test_fingerprints_are_not_broadcast(spark):
+    """A table of fingerprints is far below the threshold, the 134 rows of each aren't: they have no place in the driver's memory."""
+    pairs = simhash.near_pairs(simhash.stored(spark.range(300).select(F.xxhash64("id").alias("h1"), F.hash("id").cast("long").alias("h2"))))
+    for k in range(2):  # as planned, and as changed while it ran
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan, k
+        pairs.collect()
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect() if r.node != r.root}
