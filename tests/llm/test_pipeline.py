@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from cartoloom.llm import bpe, mixing, packing, pii, quality
+from cartoloom.llm import bpe, mixing, packing, pii, quality, simhash
 from cartoloom.llm import queries as llm
 from tests.llm.test_search import brute_groups, brute_pack
 from tests.test_queries import duck, sorted_rows
@@ -32,6 +32,19 @@ def test_stages_keep_the_columns_and_take_effect(spark, small):
     assert whole == sorted(tuple(r) for r in last.collect())
 
 
+def test_near_dedup_broadcasts_no_fingerprints(spark, small, monkeypatch):
+    plans, pairs = [], simhash.near_pairs
+
+    def seen(distinct):
+        found = pairs(distinct)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(simhash, "near_pairs", seen)
+    dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.read.parquet(f"{small}/documents.parquet"), small)
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
