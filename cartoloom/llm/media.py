@@ -7,11 +7,12 @@ never has more than MOST bytes. The hash of all positions comes from five doubli
 chunks gives (media_id, seq, start, length, digest, payload): digest is SHA-256, the payload is compressed by itself. The
 store keeps one payload for each digest; the owner is the least (media_id, seq). References are those of the distinct media:
 rows that repeat one add none, and chunks that only a losing payload has belong to no medium. Media are ordered lists of digests. A
-payload can be put together again from the store alone (reconstruct). Over a whole table verify does so without moving the
-bytes a second time: beside each stored chunk it hashes the stored bytes again, checks the digest, and takes a polynomial
-hash; these compose along the ordered list to the hash of the whole payload, which must be the one of the original.
+payload can be put together again from the store alone (reconstruct). verify does so for every medium: the stored bytes of
+each chunk are hashed again and checked against the digest, go to all media whose lists name it, and are put together in
+order; length and SHA-256 of what results must be those of the original payload.
 
-The polynomial hash is sum of (byte + 1) * B^(n - 1 - i) modulo 2^61 - 1; that of a concatenation is h(x) B^len(y) + h(y).
+Of different payloads of a medium that are equally long, the one with the largest polynomial hash counts: the sum of
+(byte + 1) * B^(n - 1 - i) modulo 2^61 - 1; that of a concatenation is h(x) B^len(y) + h(y).
 
 A null payload is no medium and has a row without chunks (n_chunks 0, verified null); an empty one has no chunks and is
 verified. Repeated rows and null ids: media are told apart by media_id; rows that repeat one are one medium if their payloads
@@ -29,6 +30,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from cartoloom.llm import _text as T
 from cartoloom.llm._spark import cut, table
@@ -151,7 +153,10 @@ CHUNKS = pa.list_(pa.struct([("seq", pa.int32()), ("start", pa.int64()), ("lengt
 
 
 def chunked(media: DataFrame, bytes_too: bool = True) -> DataFrame:
-    """(media_id, n_bytes, poly, chunks): chunks in order; payload is null unless bytes_too. media: media_id, payload (text or binary)."""
+    """(media_id, n_bytes, poly, sha, chunks): chunks in order; payload is null unless bytes_too. media: media_id, payload (text or binary).
+
+    sha is the SHA-256 of the whole payload, from its own bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,10 +164,12 @@ def chunked(media: DataFrame, bytes_too: bool = True) -> DataFrame:
                 column = piece.column(1)
                 column = column.cast(pa.large_binary()).view(pa.large_string()) if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else column
                 chunks, whole = chunk_batch(column, bytes_too)
-                size = np.diff(T.raw(column)[1])
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(size), pa.array(whole, pa.int64()), pa.array(chunks, CHUNKS)], ["media_id", "n_bytes", "poly", "chunks"])
+                data, offsets = T.raw(column)
+                view, ends = memoryview(data), offsets.tolist()
+                sha = [None if one is None else hashlib.sha256(view[a:b]).digest() for one, a, b in zip(whole, ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(offsets)), pa.array(whole, pa.int64()), pa.array(sha, pa.binary()), pa.array(chunks, CHUNKS)], ["media_id", "n_bytes", "poly", "sha", "chunks"])
 
-    return media.where("media_id IS NOT NULL").select(F.col("media_id").cast("long").alias("media_id"), "payload").mapInArrow(run, f"media_id long, n_bytes long, poly long, chunks array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>")
+    return media.where("media_id IS NOT NULL").select(F.col("media_id").cast("long").alias("media_id"), "payload").mapInArrow(run, f"media_id long, n_bytes long, poly long, sha binary, chunks array<struct<{CHUNK.replace(' ', ':').replace(',:', ',')}>>")
 
 
 def chunk_store(chunks: DataFrame) -> DataFrame:
@@ -184,52 +191,63 @@ def reconstruct(recipes: DataFrame, store: DataFrame) -> DataFrame:
 
 
 def _checked(rows: DataFrame) -> DataFrame:
-    """(digest, length, poly, intact) from the stored bytes themselves. rows: digest, payload."""
+    """rows with intact: whether the stored bytes have the digest. rows: digest, payload and any others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         expand = zstandard.ZstdDecompressor()
         for batch in batches:
-            digests, payloads = batch.column(0).to_pylist(), [expand.decompress(x) for x in batch.column(1).to_pylist()]
-            sizes = np.array([len(x) for x in payloads], np.int64)
-            ends = np.cumsum(sizes)
-            data = np.frombuffer(b"".join(payloads), np.uint8)
-            poly = polynomials(data, ends - sizes, ends).astype(np.int64)
-            intact = [hashlib.sha256(x).digest() == d for x, d in zip(payloads, digests)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(poly), pa.array(intact)], ["digest", "length", "poly", "intact"])
+            intact = [hashlib.sha256(expand.decompress(x)).digest() == d for d, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(intact, pa.bool_())], [*batch.schema.names, "intact"])
+
+    return rows.mapInArrow(run, types.StructType([*rows.schema.fields, types.StructField("intact", types.BooleanType())]))
 
-    return rows.mapInArrow(run, "digest binary, length long, poly long, intact boolean")
+
+def rebuilt(media: DataFrame) -> DataFrame:
+    """The media with verified in place of sha and parts: whether the parts, put together in order, are the original's bytes.
+
+    media: media_id, n_bytes, sha, parts (an array of seq, payload, intact in order), digests, shared_chunks, stored_bytes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = zstandard.ZstdDecompressor()
+        for batch in batches:
+            good = []
+            for r in range(batch.num_rows):  # one medium in memory at a time
+                n, want, parts = batch.column(1)[r].as_py(), batch.column(2)[r].as_py(), batch.column(3)[r].as_py() or []
+                if want is None:
+                    good.append(None)
+                    continue
+                whole, size = hashlib.sha256(), 0
+                for part in parts:
+                    raw = expand.decompress(part["payload"])
+                    whole.update(raw)
+                    size += len(raw)
+                good.append(all(part["intact"] for part in parts) and size == n and whole.digest() == want)
+            digests = batch.column(4)
+            count = digests.value_lengths().cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), count, batch.column(5), batch.column(6), digests, pa.array(good, pa.bool_())], ["media_id", "n_bytes", "n_chunks", "shared_chunks", "stored_bytes", "chunks", "verified"])
+
+    return media.select("media_id", "n_bytes", "sha", "parts", "digests", "shared_chunks", "stored_bytes").mapInArrow(run, "media_id long, n_bytes long, n_chunks int, shared_chunks long, stored_bytes long, chunks array<binary>, verified boolean")
 
 
 def verify(media: DataFrame) -> DataFrame:
     """(media_id, n_bytes, n_chunks, shared_chunks, stored_bytes, chunks, verified) of each medium.
 
     chunks is the ordered list of digests; stored_bytes is the medium's part of the store (the chunks it owns);
-    shared_chunks counts its chunks with further references.
+    shared_chunks counts its chunks with further references; verified: rebuilt from the store, it is the original.
     """
     listed = chunked(media, bytes_too=False)
-    one = listed.select("media_id", "n_bytes", "poly", F.col("poly").isNull().alias("missing"), F.expr("transform(chunks, c -> struct(c.seq, c.digest))").alias("chunks"))
-    one = cut(one.groupBy("media_id").agg(F.max(F.struct("n_bytes", "poly", "chunks")).alias("m")).select("media_id", "m.*"))
+    one = listed.select("media_id", "n_bytes", "poly", "sha", F.expr("transform(chunks, c -> struct(c.seq, c.digest))").alias("chunks"))
+    one = cut(one.groupBy("media_id").agg(F.max(F.struct("n_bytes", "poly", "chunks", "sha")).alias("m")).select("media_id", "m.n_bytes", "m.sha", "m.chunks"))
     exploded = chunked(media).select(F.explode("chunks").alias("c")).select("c.digest", "c.payload", F.col("c.length").alias("length"))
-    store = _checked(chunk_store(exploded).select("digest", "payload"))
+    store = chunk_store(exploded)
     recipe = one.select("media_id", F.explode("chunks").alias("c")).select("media_id", "c.seq", "c.digest")
     owner = recipe.groupBy("digest").agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("refs"))
-    found = store.join(owner, "digest").join(recipe, "digest")  # all by digest: each side is shuffled once
     mine = (F.col("owner.media_id") == F.col("media_id")) & (F.col("owner.seq") == F.col("seq"))
-    parts = found.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", "poly", "length", "intact"))).alias("parts"), F.count_if(F.col("refs") > 1).alias("shared_chunks"), F.sum(F.when(mine, F.col("length")).otherwise(0)).alias("stored_bytes"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for n, want, chunks, parts in zip(*(batch.column(k).to_pylist() for k in range(1, 5))):
-                parts = parts or []
-                ok = len(parts) == len(chunks) and all(p["intact"] for p in parts) and sum(p["length"] for p in parts) == n
-                good.append(None if want is None else ok and compose([(p["poly"], p["length"]) for p in parts]) == want)
-            lists = pa.array([[c["digest"] for c in row] for row in batch.column(3).to_pylist()], pa.list_(pa.binary()))
-            size = pa.array([len(row) for row in batch.column(3).to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, batch.column(5), batch.column(6), lists, pa.array(good, pa.bool_())], ["media_id", "n_bytes", "n_chunks", "shared_chunks", "stored_bytes", "chunks", "verified"])
-
-    whole = one.join(parts, "media_id", "left").select("media_id", "n_bytes", "poly", "chunks", "parts", F.coalesce("shared_chunks", F.lit(0)).cast("long").alias("shared_chunks"), F.coalesce("stored_bytes", F.lit(0)).cast("long").alias("stored_bytes"))
-    return whole.mapInArrow(run, "media_id long, n_bytes long, n_chunks int, shared_chunks long, stored_bytes long, chunks array<binary>, verified boolean")
+    found = store.join(owner, "digest").join(recipe, "digest")  # all by digest: each side is shuffled once
+    found = _checked(found.select("digest", "payload", "media_id", "seq", "length", "refs", mine.alias("mine")))  # Python forgets the partitioning, so not before
+    parts = found.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", "payload", "intact"))).alias("parts"), F.count_if(F.col("refs") > 1).alias("shared_chunks"), F.sum(F.when(F.col("mine"), F.col("length")).otherwise(0)).alias("stored_bytes"))
+    return rebuilt(one.join(parts, "media_id", "left").select("media_id", "n_bytes", "sha", "parts", F.expr("transform(chunks, c -> c.digest)").alias("digests"), F.coalesce("shared_chunks", F.lit(0)).cast("long").alias("shared_chunks"), F.coalesce("stored_bytes", F.lit(0)).cast("long").alias("stored_bytes")))
 
 
 def as_media(docs: DataFrame, payload: Column | None = None) -> DataFrame:

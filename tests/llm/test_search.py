@@ -221,6 +221,14 @@ def test_damaged_chunks_are_noticed(spark):
     assert not media._checked(df).first().intact
 
 
+def test_media_are_put_together_from_the_stored_bytes(spark):
+    """Chunks that are sound in themselves make no verified medium if what they make together isn't the original."""
+    whole, pack = hashlib.sha256(b"abcdef").digest(), lambda *x: [(k, zstandard.compress(p), True) for k, p in enumerate(x)]
+    cases = [(1, 6, whole, pack(b"abc", b"def")), (2, 6, whole, pack(b"def", b"abc")), (3, 6, whole, pack(b"abc")), (4, 6, None, None), (5, 0, hashlib.sha256(b"").digest(), None), (6, 6, whole, pack(b"abc", b"deg"))]
+    df = spark.createDataFrame([(i, n, w, p, [], 0, 0) for i, n, w, p in cases], "media_id long, n_bytes long, sha binary, parts array<struct<seq: int, payload: binary, intact: boolean>>, digests array<binary>, shared_chunks long, stored_bytes long")
+    assert {r.media_id: r.verified for r in media.rebuilt(df).collect()} == {1: True, 2: False, 3: False, 4: None, 5: True, 6: False}
+
+
 TEXTS = ["Hello world, it's 2024!  Two  spaces\n\nnew line ", "", None, "ünïcødé ½ ١٢ 漢字 🎉🎉 a b", "'s 'll don't", "x" * 50_000, "  ", "a\r\n\tb", "tok " * 5000]
 
 
