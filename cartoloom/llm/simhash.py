@@ -147,7 +147,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
     heads = stored(fp.groupBy("h1", "h2").agg(F.min("doc_id").alias("head")))
     pairs = near_pairs(heads.select("h1", "h2"))
     left, right = heads.select(F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("head").alias("u")), heads.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("head").alias("v"))
-    roots = components(pairs.join(left, ["a1", "a2"]).join(right, ["b1", "b2"]).select("u", "v"))
+    # the size of files says little of their rows in memory, so these too would be broadcast as they grow
+    roots = components(pairs.join(left.hint("merge"), ["a1", "a2"]).join(right.hint("merge"), ["b1", "b2"]).select("u", "v"))
     linked = heads.join(roots, heads["head"] == roots["node"], "left").select("h1", "h2", F.coalesce("root", "head").alias("duplicate_of"))
     return fp.select("doc_id", "h1", "h2").distinct().join(linked, ["h1", "h2"]).where(F.col("doc_id") != F.col("duplicate_of")).select("doc_id", "duplicate_of").groupBy("doc_id").agg(F.min("duplicate_of").alias("duplicate_of"))
 

@@ -45,6 +45,18 @@ def test_near_dedup_broadcasts_no_fingerprints(spark, small, monkeypatch):
     assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "Broadcast" not in plans[0]
 
 
+def test_near_dedup_broadcasts_no_heads(spark, small, monkeypatch):
+    plans, components = [], simhash.components
+
+    def seen(edges):
+        plans.append(edges._jdf.queryExecution().executedPlan().toString())
+        return components(edges)
+
+    monkeypatch.setattr(simhash, "components", seen)
+    dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.read.parquet(f"{small}/documents.parquet"), small)
+    assert len(plans) == 1 and plans[0].count("SortMergeJoin") == 3 and "Broadcast" not in plans[0]
+
+
 def test_every_operator_is_registered():
     names = entry.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
