@@ -7,9 +7,10 @@ never has more than MOST bytes. The hash of all positions comes from five doubli
 chunks gives (media_id, seq, start, length, digest, payload): digest is SHA-256, the payload is compressed by itself. The
 store keeps one payload for each digest; the owner is the least (media_id, seq). References are those of the distinct media:
 rows that repeat one add none, and chunks that only a losing payload has belong to no medium. Media are ordered lists of digests. A
-payload can be put together again from the store alone (reconstruct). verify does so for every medium: the stored bytes of
-each chunk are hashed again and checked against the digest, go to all media whose lists name it, and are put together in
-order; length and SHA-256 of what results must be those of the original payload.
+payload can be put together again from the store alone (reconstruct). verify does so for every medium: its store has a part for
+each medium, the chunks that it owns, and all else that a medium's list names comes from the parts of the owners. The stored
+bytes of each chunk are hashed again and checked against the digest and are put together in order; length and SHA-256 of what
+results must be those of the original payload. Payloads are shuffled once, into the store, and only shared ones again.
 
 Of different payloads of a medium that are equally long, the one with the largest polynomial hash counts: the sum of
 (byte + 1) * B^(n - 1 - i) modulo 2^61 - 1; that of a concatenation is h(x) B^len(y) + h(y).
@@ -205,7 +206,8 @@ def _checked(rows: DataFrame) -> DataFrame:
 def rebuilt(media: DataFrame) -> DataFrame:
     """The media with verified in place of sha and parts: whether the parts, put together in order, are the original's bytes.
 
-    media: media_id, n_bytes, sha, parts (an array of seq, payload, intact in order), digests, shared_chunks, stored_bytes.
+    media: media_id, n_bytes, sha, parts (an array of seq, payload, intact in order), digests, shared_chunks, stored_bytes. Parts
+    whose intact is null are checked against the digests here.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,12 +219,13 @@ def rebuilt(media: DataFrame) -> DataFrame:
                 if want is None:
                     good.append(None)
                     continue
-                whole, size = hashlib.sha256(), 0
+                whole, size, intact, digests = hashlib.sha256(), 0, True, batch.column(4)[r]
                 for part in parts:
                     raw = expand.decompress(part["payload"])
                     whole.update(raw)
                     size += len(raw)
-                good.append(all(part["intact"] for part in parts) and size == n and whole.digest() == want)
+                    intact &= hashlib.sha256(raw).digest() == digests[part["seq"]].as_py() if part["intact"] is None else part["intact"]
+                good.append(intact and size == n and whole.digest() == want)
             digests = batch.column(4)
             count = digests.value_lengths().cast(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), count, batch.column(5), batch.column(6), digests, pa.array(good, pa.bool_())], ["media_id", "n_bytes", "n_chunks", "shared_chunks", "stored_bytes", "chunks", "verified"])
@@ -230,24 +233,32 @@ def rebuilt(media: DataFrame) -> DataFrame:
     return media.select("media_id", "n_bytes", "sha", "parts", "digests", "shared_chunks", "stored_bytes").mapInArrow(run, "media_id long, n_bytes long, n_chunks int, shared_chunks long, stored_bytes long, chunks array<binary>, verified boolean")
 
 
+def _winners(media: DataFrame, chunk: str, bytes_too: bool = True) -> DataFrame:
+    """(media_id, n_bytes, sha, chunks): of each medium's payloads the one that counts; chunk makes one of chunks from c, digest first."""
+    one = chunked(media, bytes_too).select("media_id", "n_bytes", "poly", F.expr(f"transform(chunks, c -> {chunk})").alias("chunks"), "sha")
+    return one.groupBy("media_id").agg(F.max(F.struct("n_bytes", "poly", "chunks", "sha")).alias("m")).select("media_id", "m.n_bytes", "m.sha", "m.chunks")
+
+
 def verify(media: DataFrame) -> DataFrame:
     """(media_id, n_bytes, n_chunks, shared_chunks, stored_bytes, chunks, verified) of each medium.
 
     chunks is the ordered list of digests; stored_bytes is the medium's part of the store (the chunks it owns);
     shared_chunks counts its chunks with further references; verified: rebuilt from the store, it is the original.
     """
-    listed = chunked(media, bytes_too=False)
-    one = listed.select("media_id", "n_bytes", "poly", "sha", F.expr("transform(chunks, c -> struct(c.seq, c.digest))").alias("chunks"))
-    one = cut(one.groupBy("media_id").agg(F.max(F.struct("n_bytes", "poly", "chunks", "sha")).alias("m")).select("media_id", "m.n_bytes", "m.sha", "m.chunks"))
-    exploded = chunked(media).select(F.explode("chunks").alias("c")).select("c.digest", "c.payload", F.col("c.length").alias("length"))
-    store = chunk_store(exploded)
-    recipe = one.select("media_id", F.explode("chunks").alias("c")).select("media_id", "c.seq", "c.digest")
-    owner = recipe.groupBy("digest").agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("refs"))
+    recipe = _winners(media, "c.digest", bytes_too=False).select("media_id", F.posexplode("chunks").alias("seq", "digest"))
+    owner = recipe.groupBy("digest").agg(F.min(F.struct("media_id", "seq")).alias("owner"), F.count("*").alias("refs")).where("refs > 1")
     mine = (F.col("owner.media_id") == F.col("media_id")) & (F.col("owner.seq") == F.col("seq"))
-    found = store.join(owner, "digest").join(recipe, "digest")  # all by digest: each side is shuffled once
-    found = _checked(found.select("digest", "payload", "media_id", "seq", "length", "refs", mine.alias("mine")))  # Python forgets the partitioning, so not before
-    parts = found.groupBy("media_id").agg(F.array_sort(F.collect_list(F.struct("seq", "payload", "intact"))).alias("parts"), F.count_if(F.col("refs") > 1).alias("shared_chunks"), F.sum(F.when(F.col("mine"), F.col("length")).otherwise(0)).alias("stored_bytes"))
-    return rebuilt(one.join(parts, "media_id", "left").select("media_id", "n_bytes", "sha", "parts", F.expr("transform(chunks, c -> c.digest)").alias("digests"), F.coalesce("shared_chunks", F.lit(0)).cast("long").alias("shared_chunks"), F.coalesce("stored_bytes", F.lit(0)).cast("long").alias("stored_bytes")))
+    links = cut(recipe.join(owner, "digest").select("media_id", "seq", "digest", mine.alias("mine")))  # of shared chunks only
+    marks = links.groupBy("media_id").agg(F.count("*").alias("shared_chunks"), F.collect_list(F.expr("IF(mine, seq, NULL)")).alias("lent"), F.collect_list(F.expr("IF(mine, NULL, seq)")).alias("borrowed"))
+    # used twice, but shuffled once: both times it is the same exchange
+    held = _winners(media, "struct(c.digest, c.length, c.payload)").join(marks, "media_id", "left")
+    lent = _checked(held.select(F.expr("inline(transform(lent, k -> struct(chunks[k].digest, chunks[k].payload)))")))
+    got = links.where("NOT mine").join(lent, "digest").groupBy("media_id").agg(F.collect_list(F.struct("seq", "payload", "intact")).alias("got"))
+    own = "transform({}, k -> struct(k AS seq, chunks[k].payload AS payload, CAST(NULL AS boolean) AS intact))"
+    every = "IF(size(chunks) > 0, sequence(0, size(chunks) - 1), CAST(array() AS array<int>))"
+    parts = F.expr(f"CASE WHEN size(borrowed) > 0 THEN array_sort(concat({own.format(f'array_except({every}, borrowed)')}, coalesce(got, array()))) ELSE {own.format(every)} END")
+    taken = "aggregate(coalesce(borrowed, array()), 0L, (n, k) -> n + chunks[k].length)"
+    return rebuilt(held.join(got, "media_id", "left").select("media_id", "n_bytes", "sha", parts.alias("parts"), F.col("chunks.digest").alias("digests"), F.coalesce("shared_chunks", F.lit(0)).cast("long").alias("shared_chunks"), F.expr(f"n_bytes - {taken}").alias("stored_bytes")))
 
 
 def as_media(docs: DataFrame, payload: Column | None = None) -> DataFrame:

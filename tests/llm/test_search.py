@@ -196,6 +196,48 @@ def test_repeated_media_add_no_references(spark):
     assert got[2].n_bytes == got[2].stored_bytes == 21 and got[2].n_chunks == 1 and got[2].verified
 
 
+def shuffled(spark, run):
+    """(what run returns, the bytes that its stages write to shuffles)."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def stages():
+        sc.listenerBus().waitUntilEmpty(30_000)
+        gateway = spark.sparkContext._gateway
+        found = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteBytes() for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    out = run()
+    return out, sum(n for key, n in stages().items() if key not in before)
+
+
+def test_payloads_are_shuffled_once(spark, tmp_path):
+    r = np.random.default_rng(21)
+    block = r.bytes(4000)
+    rows = [(k, bytearray(r.bytes(50_000) + block)) for k in range(20)]
+    spark.createDataFrame(rows, "media_id long, payload binary").write.parquet(f"{tmp_path}/media")
+    got, written = shuffled(spark, lambda: media.verify(spark.read.parquet(f"{tmp_path}/media")).collect())
+    assert len(got) == 20 and all(x.verified and x.n_bytes == 54_000 for x in got)
+    assert sum(x.stored_bytes for x in got) < 20 * 54_000 - 19 * 2000 and all(x.shared_chunks for x in got)
+    assert 20 * 50_000 < written < 1.5 * 20 * 54_000
+
+
+def test_shared_chunks_come_from_their_owner(spark, monkeypatch):
+    """A medium is verified only if what its chunks' owners hold is sound; chunks that its own payload repeats are stored once too."""
+    r = np.random.default_rng(22)
+    block = r.bytes(9000)
+    payloads = {1: block, 2: r.bytes(3000) + block, 3: r.bytes(3000), 4: b"", 5: b"\0" * 40_000}
+    df = spark.createDataFrame([(k, bytearray(p)) for k, p in payloads.items()], "media_id long, payload binary")
+    assert {x.media_id: x.verified for x in media.verify(df).collect()} == dict.fromkeys(payloads, True)
+    checked, seen = media._checked, []
+    monkeypatch.setattr(media, "_checked", lambda rows: checked(seen.append(rows) or rows.select("digest", F.lit(zstandard.compress(b"other bytes")).alias("payload"))))
+    got = {x.media_id: x for x in media.verify(df).collect()}
+    assert {k: x.verified for k, x in got.items()} == {1: True, 2: False, 3: True, 4: True, 5: False}
+    assert got[5].stored_bytes < 40_000 and seen[0].count() == seen[0].select("digest").distinct().count()
+    monkeypatch.setattr(media, "_checked", lambda rows: checked(rows).where("false"))  # what an owner has lost is missed
+    assert {x.media_id: x.verified for x in media.verify(df).collect()} == {1: True, 2: False, 3: True, 4: True, 5: False}
+
+
 def test_cut_points_are_those_of_a_rolling_hash():
     r = np.random.default_rng(13)
     texts = [r.bytes(30_000), b"", b"\0" * 20_000, r.bytes(31), b"ab" * 9_000, r.bytes(media.MOST + 1)]
