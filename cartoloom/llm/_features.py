@@ -13,7 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
-from cartoloom.llm._spark import table
+from cartoloom.llm._spark import spared, table
+
+
+def _times(v: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """v * value, in the place of v where the type is the same."""
+    return np.multiply(v, value, out=v if v.dtype == value.dtype else None)
 
 
 @dataclass
@@ -34,17 +39,21 @@ class Sparse:
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
         v = weights[self.index]
-        return T.segment_sum(v * (self.value if v.ndim == 1 else self.value[:, None]), self.offsets)
+        return T.segment_sum(_times(v, self.value if v.ndim == 1 else self.value[:, None]), self.offsets)
 
     def back(self, grad: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.index, np.repeat(grad, np.diff(self.offsets)) * self.value, size)
+        return np.bincount(self.index, _times(np.repeat(grad, np.diff(self.offsets)), self.value), size)
 
 
 def stack(parts: list[Sparse]) -> Sparse:
-    if not parts:
-        return Sparse(np.zeros(0, np.int64), np.zeros(0), np.zeros(1, np.int64))
+    """The rows of all parts. Empties the list, so that they are not in memory twice."""
     bases = np.cumsum([0, *(len(p.index) for p in parts)])
-    return Sparse(np.concatenate([p.index for p in parts]), np.concatenate([p.value for p in parts]), np.concatenate([[0], *(p.offsets[1:] + b for p, b in zip(parts, bases))]))
+    offsets = np.concatenate([np.zeros(1, np.int64), *(p.offsets[1:] + b for p, b in zip(parts, bases))])
+    index, value = np.empty(bases[-1], np.int64), np.empty(bases[-1])
+    for base in bases[-2::-1]:
+        p = parts.pop()
+        index[base : base + len(p.index)], value[base : base + len(p.index)] = p.index, p.value
+    return Sparse(index, value, offsets)
 
 
 def counted(row: np.ndarray, index: np.ndarray, rows: int, size: int) -> Sparse:
@@ -73,14 +82,18 @@ def fitted(rows: DataFrame, fit: Callable[[pa.Table], Any]) -> Any:
         if parts:
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(parts)))], pa.binary())], ["model"])
 
-    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "model binary").collect()
+    found = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(spared(run), "model binary").collect()
     return pickle.loads(found[0].model) if found else fit(rows.limit(0).toArrow())
 
 
 def compact(x: Sparse) -> tuple[np.ndarray, Sparse]:
     """The indexes that occur, and the rows with indexes among them."""
-    ids, back = np.unique(x.index, return_inverse=True)
-    return ids, Sparse(back, x.value, x.offsets)
+    there = np.zeros(int(x.index.max(initial=-1)) + 1, bool)  # indexes are below the size of a hash table; a sort takes far more
+    there[x.index] = True
+    ids = np.flatnonzero(there)
+    place = np.zeros(len(there), np.int64)
+    place[ids] = np.arange(len(ids))
+    return ids, Sparse(place[x.index], x.value, x.offsets)
 
 
 def adam(grad, weights: list[np.ndarray], steps: int, rate: float) -> list[np.ndarray]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 from collections.abc import Callable, Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import types
 
 from cartoloom.checkpoint import cut, shared_dir
 
-__all__ = ["columns", "cut", "mapped", "removed", "shared_dir", "stored", "table"]
+__all__ = ["columns", "cut", "mapped", "removed", "shared_dir", "spared", "stored", "table"]
 
 
 def columns(df: DataFrame) -> list[Column]:
@@ -21,11 +22,28 @@ def columns(df: DataFrame) -> list[Column]:
     return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
 
 
+def spared(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after whose last batch the worker gives free memory back to the system.
+
+    Workers outlive tasks and stages; each would keep about the most that any of its tasks took.
+    """
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):
+            pass  # not glibc
+
+    return tidy
+
+
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
     """mapInArrow over all columns of df, which run keeps in number and type; it sees them by place, not by name."""
     fields = df.schema.fields
     places = types.StructType([types.StructField(f"c{k}", f.dataType) for k, f in enumerate(fields)])
-    return df.toDF(*places.fieldNames()).mapInArrow(run, places).toDF(*(f.name for f in fields))
+    return df.toDF(*places.fieldNames()).mapInArrow(spared(run), places).toDF(*(f.name for f in fields))
 
 
 def stored(df: DataFrame) -> DataFrame:

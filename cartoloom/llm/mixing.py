@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
 from cartoloom.llm import bpe
-from cartoloom.llm._spark import columns, cut, table
+from cartoloom.llm._spark import columns, cut, spared, table
 
 SEED = 17
 #: Target weights of the registered query and the stage: src0, the largest source, counts double; all others count 1.
@@ -52,7 +52,7 @@ def token_lengths(docs: DataFrame, *columns: str, folder: str = bpe.TOKENIZERS,
                 yield pa.RecordBatch.from_arrays([*piece.columns[: len(columns)], pa.array(n)], [*columns, "n_tokens"])
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, "text").mapInArrow(run, f"{kinds}, n_tokens long")
+    return docs.select(*columns, "text").mapInArrow(spared(run), f"{kinds}, n_tokens long")
 
 
 def nearest_subset(lengths: list[int], counts: list[int], rest: int) -> dict[int, int]:
@@ -123,11 +123,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int = SEED)
 
 def mix(lengths: DataFrame, weights: dict[str, float] | None = None, seed: int = SEED, scarce: float = 0.0) -> DataFrame:
     """(doc_id, source, n_tokens) of the documents taken. lengths: doc_id, source, n_tokens, one row for each doc_id."""
-    spark = lengths.sparkSession
     cells = cut(lengths.groupBy("source", "n_tokens").agg(F.count("*").alias("docs")))
     supply = cells.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("docs")).alias("supply"))
-    given = spark.createDataFrame([(k, float(v)) for k, v in (weights or {}).items()], "of string, weight double")
-    supply = supply.join(given, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "supply", F.coalesce("weight", F.lit(1.0)).alias("weight"))
+    # no table of the weights: rows made in Python take a second set of workers, which stay in every executor
+    weight = F.coalesce(*(F.when(F.col("source").eqNullSafe(F.lit(k)), F.lit(float(v))) for k, v in (weights or {}).items()), F.lit(1.0))
+    supply = supply.select("source", "supply", weight.alias("weight"))
     supply = supply.withColumn("each", F.expr("CASE WHEN supply > 0 AND weight > 0 THEN supply / weight END"))
     middle = supply.agg(F.expr("sort_array(collect_list(each))").alias("all")).select(F.expr("get(all, cast(size(all) div 2 AS int))").alias("middle"))
     least = supply.crossJoin(middle).where(F.col("each") >= F.col("middle") * scarce).agg(F.min("each").alias("unit"))

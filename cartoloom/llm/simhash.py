@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cartoloom.llm import _text as T
-from cartoloom.llm._spark import columns, cut, stored, table
+from cartoloom.llm._spark import columns, cut, spared, stored, table
 
 TAU = 16
 #: (half, shift, width) of each segment; budgets sum to TAU - 5.
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 rows, fp = fingerprint_batch(piece.column(1))
                 yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(rows)), pa.array(fp[:, 0].view(np.int64)), pa.array(fp[:, 1].view(np.int64))], ["doc_id", "h1", "h2"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, h1 long, h2 long")
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(spared(run), "doc_id long, h1 long, h2 long")
 
 
 def _part(column: Column, shift: int, width: int) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import itertools
+import re
 import resource
+import tracemalloc
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +16,7 @@ import pytest
 from cartoloom.llm import _text as T
 from cartoloom.llm import crf, fm, pii, quality, toxicity
 from cartoloom.llm._features import Sparse, sample, sigmoid
-from cartoloom.llm._spark import table
+from cartoloom.llm._spark import mapped, table
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, quality string, score string, spans string, keep string"
 
@@ -301,3 +304,36 @@ def test_labelled_takes_the_largest_label_and_bounds(spark, tmp_path):
     got = labelled(spark, str(tmp_path), "quality", 10)
     assert got.select(["doc_id", "label", "text"]).to_pylist() == [{"doc_id": 1, "label": 1, "text": "a"}, {"doc_id": 3, "label": 0, "text": None}]
     assert labelled(spark, str(tmp_path), "quality", 1).num_rows == 1
+
+
+def test_fit_holds_the_features_about_once():
+    r = np.random.default_rng(4)
+    texts = pa.array([" ".join(map(str, r.integers(0, 10_000, 120))) for _ in range(1500)])
+    entries = len(quality.features(texts).index)
+    tracemalloc.start()
+    quality.fit(texts, np.arange(1500) % 2.0, 2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 2.7 * 16 * entries  # an entry is 16 bytes
+
+
+def test_workers_give_free_memory_back(spark, monkeypatch):
+    def resident():
+        return int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+
+    def run(batches):
+        for batch in batches:
+            blocks = [np.ones(12_000) for _ in range(1500)]  # 144 MB, of which a few stay
+            kept.extend(blocks[::50])
+            del blocks
+            yield batch
+
+    kept: list[np.ndarray] = []
+    given, df = [], spark.range(1)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: given.append(f) or self)
+    mapped(df, run)
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["c0"])
+    out = given[0](iter([batch]))
+    assert next(out) is batch
+    before = resident()
+    assert list(out) == [] and resident() < before - 72

@@ -362,6 +362,19 @@ def test_mixing_meets_the_weights(spark):
     assert mixing.mix(lengths.where("false")).count() == 0
 
 
+def test_mixing_makes_no_rows_in_python(spark, monkeypatch):
+    plans, cut = [], mixing.cut
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(mixing, "cut", seen)
+    mixing.mix(spark.range(40).selectExpr("id AS doc_id", "concat('src', id % 3) AS source", "id + 1 AS n_tokens"), mixing.WEIGHTS)
+    # the second plan reads the checkpoint of the cells; any other table of existing rows came through Python
+    assert len(plans) == 2 and "[source#" in plans[1] and "[of#" not in plans[1]
+
+
 def test_empty_and_scarce_sources_leave_the_others_alone(spark, tmp_path):
     """An empty source, one of a single short document, and the weights of the registered query and the stage."""
     sources = ["src0"] * 40 + ["src1"] * 30 + ["src2"] * 40 + ["src3", "src4", "src4", None]
