@@ -367,8 +367,9 @@ def xml_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xml_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XML pages made of documents, and read back."""
     d = _table(spark, sf_dir, "documents")
-    body = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    xml = F.concat(F.lit("<page><title>"), F.col("source"), F.lit("</title><ns>0</ns><id>"), F.col("doc_id"), F.lit('</id><revision><id>1</id><text xml:space="preserve">'), body, F.lit("</text></revision></page>"))
+    revision = F.concat(F.lit("<revision><id>1</id>"), wiki_xml.element("text", wiki_xml.escaped(F.col("text")), ' xml:space="preserve"'), F.lit("</revision>"))
+    head = F.concat(wiki_xml.element("title", wiki_xml.escaped(F.col("source"))), F.lit("<ns>0</ns>"), wiki_xml.element("id", F.col("doc_id").cast("string")))
+    xml = F.concat(F.lit("<page>"), head, revision, F.lit("</page>"))
     return wiki_xml.parse_pages(d.select(xml.alias("xml"))).select("id", "title", "text")
 
 

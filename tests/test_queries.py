@@ -63,3 +63,12 @@ def test_nothing_else_imports_the_optional_subpackage():
         if f"{os.sep}llm{os.sep}" not in path:
             with open(path) as f:
                 assert "llm" not in f.read(), path
+
+
+def test_pages_of_odd_texts_come_back_whole(spark, tmp_path):
+    odd = ["", " ", " \n", None, "\r", "a\r\nb", "a\x00b\x1f", "", "@\x01_", " <text>&amp; ", "]]>", "￿"]
+    rows = [(k, text, "s") for k, text in enumerate(odd)] + [(100 + k, "t", source) for k, source in enumerate(odd)] + [(None, "t", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = entry.queries()["xml_pages"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((i, source, text)) for i, text, source in rows)
+    assert sorted_rows(got.columns, got.collect()) == duck(str(tmp_path), entry.oracle_sql()["xml_pages"])
