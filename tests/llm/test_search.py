@@ -94,6 +94,78 @@ def test_fingerprints_are_not_broadcast(spark):
         pairs.collect()
 
 
+def clustered(n, seed=7):
+    """Distinct fingerprints of which many are near each other, as two columns."""
+    r = np.random.default_rng(seed)
+    centres = r.integers(0, 2, (n // 20, 128), dtype=np.uint8)
+    bits = centres[r.integers(0, len(centres), n)] ^ (r.random((n, 128)) < r.uniform(0, 0.12, (n, 1)))
+    return np.unique(np.packbits(bits, axis=1).view(np.uint64), axis=0)
+
+
+def brute_pairs(fp):
+    x, y = np.triu_indices(len(fp), 1)
+    d = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1)
+    return {frozenset((tuple(map(int, fp.view(np.int64)[a])), tuple(map(int, fp.view(np.int64)[b])))): int(k) for a, b, k in zip(x, y, d) if k <= simhash.TAU}
+
+
+@pytest.mark.parametrize("fine, at_once", [(1 << 15, 1 << 15), (0, 1 << 15), (0, 7)])
+def test_pairs_of_one_and_of_two_chunks_are_those_of_brute_force(monkeypatch, fine, at_once):
+    monkeypatch.setattr(simhash, "FINE", fine)
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    fp = clustered(700)
+    a, b = fp[::2], fp[1::2]
+    found = []
+    for x, y, same in ((a, a, True), (b, b, True), (a, b, False)):
+        for at_x, at_y, distance in simhash.chunk_pairs(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), same):
+            u, v = x.view(np.int64)[at_x], y.view(np.int64)[at_y]
+            found += [(frozenset((tuple(map(int, p)), tuple(map(int, q)))), int(d)) for p, q, d in zip(u, v, distance)]
+    want = brute_pairs(fp)
+    assert len(found) == len(want) > 1000 and dict(found) == want
+
+
+def test_fingerprints_meet_in_chunks_and_not_as_rows(spark, monkeypatch):
+    """What is joined is two rows for each two chunks, where 134 rows for a fingerprint made candidates grow with the square."""
+    monkeypatch.setattr(simhash, "LEAST_CHUNK", 128)
+    fp = clustered(900, 8)
+    pairs = simhash.near_pairs(spark.createDataFrame([tuple(map(int, x)) for x in fp.view(np.int64)], "h1 long, h2 long"))
+    rows = pairs.collect()
+    want = brute_pairs(fp)
+    assert len(rows) == len(want) and {frozenset(((r.a1, r.a2), (r.b1, r.b2))): r.distance for r in rows} == want
+    assert all((r.a1, r.a2) < (r.b1, r.b2) for r in rows)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join") :]
+    assert "data" in join and "flip" not in plan
+
+
+def test_a_chunk_that_meets_itself_may_come_in_two_orders():
+    fp = clustered(500, 9)
+    other = np.random.default_rng(1).permutation(fp)
+    found = [r for batch in simhash._met(pa.py_buffer(fp.tobytes()), pa.py_buffer(other.tobytes()), True) for r in batch.to_pylist()]
+    want = brute_pairs(fp)
+    assert len(found) == len(want) and {frozenset(((r["a1"], r["a2"]), (r["b1"], r["b2"]))): r["distance"] for r in found} == want
+
+
+def test_thinned_pairs_link_the_same(spark):
+    r = np.random.default_rng(9)
+    groups = [[tuple(map(int, x)) for x in r.integers(-(2**63), 2**63, (n, 2))] for n in (2, 3, 40, 300)]
+    pairs = [(*p, *q) for g in groups for p, q in itertools.combinations(g, 2)]
+    path = [((k, 5), (k + 1, 5)) for k in range(50)]
+    df = spark.createDataFrame(pairs + [(*p, *q) for p, q in path], "a1 long, a2 long, b1 long, b2 long")
+    got = simhash.thinned(df.repartition(2)).collect()
+    assert len(got) < 2 * (sum(map(len, groups)) + 51)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for row in got:
+        root[find((row[0], row[1]))] = find((row[2], row[3]))
+    found = Counter(find(x) for x in [*itertools.chain(*groups), *((k, 5) for k in range(51))])
+    assert sorted(found.values()) == [2, 3, 40, 51, 300]
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101)], "u long, v long")
     got = {r.node: r.root for r in simhash.components(edges).collect() if r.node != r.root}

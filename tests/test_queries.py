@@ -66,7 +66,7 @@ def test_nothing_else_imports_the_optional_subpackage():
 
 
 def test_pages_of_odd_texts_come_back_whole(spark, tmp_path):
-    odd = ["", " ", " \n", None, "\r", "a\r\nb", "a\x00b\x1f", "", "@\x01_", " <text>&amp; ", "]]>", "￿"]
+    odd = ["", " ", " \n", None, "\r", "a\r\nb", "a\x00b\x1f", "\ue000", "\ue000@\x01\ue000_", " <text>&amp; ", "]]>", "\uffff"]
     rows = [(k, text, "s") for k, text in enumerate(odd)] + [(100 + k, "t", source) for k, source in enumerate(odd)] + [(None, "t", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     got = entry.queries()["xml_pages"](spark, str(tmp_path))
