@@ -26,7 +26,8 @@ def denormalised(nodes: DataFrame, ways: DataFrame, relations: DataFrame, condit
     flagged = ways.join(used, "id", "left").withColumn("own", tags.matches(F.col("tags"), conditions)).where("own OR used")
     ids = flagged.select(F.explode("node_ids").alias("id")).union(node_members(wanted)).distinct()
     points = stored(located(nodes.join(ids, "id", "left_semi"), rounded))
-    measures = stored(flagged.select("id", "tags", "own").join(measured(way_points(flagged, points)), "id"))
+    shown = measured(way_points(flagged, points)).select("id", *(["points"] if way_nodes else []), "centroid", "bounds")
+    measures = stored(flagged.select("id", "tags", "own").join(shown, "id"))
     way_lines = lines.way_records(measures.where("own"), way_nodes)
     relation_lines = lines.relation_records(placed_relations(wanted, measures, points))
     return (lines.node_features if node_features else lines.node_records)(kept).union(way_lines).union(relation_lines)

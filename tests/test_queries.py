@@ -72,3 +72,11 @@ def test_pages_of_odd_texts_come_back_whole(spark, tmp_path):
     got = entry.queries()["xml_pages"](spark, str(tmp_path))
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((i, source, text)) for i, text, source in rows)
     assert sorted_rows(got.columns, got.collect()) == duck(str(tmp_path), entry.oracle_sql()["xml_pages"])
+
+
+def test_ways_are_kept_without_points_that_no_line_shows(spark, small, monkeypatch):
+    kept, stored = [], own.extracts.stored
+    monkeypatch.setattr(own.extracts, "stored", lambda df: kept.append(df.columns) or stored(df))
+    made = [own.extracts.denormalised(own.nodes(spark, small), own.ways(spark, small), own.relations(spark, small), None, shown) for shown in (False, True)]
+    assert ["points" in columns for columns in kept if "bounds" in columns] == [False, True]
+    assert made[0].count() == made[1].count() > 0
