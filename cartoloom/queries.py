@@ -389,6 +389,11 @@ def _json(path: str):
     return F.get_json_object("value", path)
 
 
+def _read(made: DataFrame, column: str, *fields: str) -> DataFrame:
+    """Fields of JSON texts beside the other columns; a text is parsed once for all of them, and made outside of the parser."""
+    return made.select(*(c for c in made.columns if c != column), F.json_tuple(column, *fields).alias(*fields))
+
+
 @query(_WITH + """SELECT lat, lon, p_brand AS brand, 'Feature' AS type FROM nodes""")
 def node_feature_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines.node_features(nodes(spark, sf_dir))
@@ -404,8 +409,8 @@ def node_record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WITH + """SELECT id, printf('%.7f', n) AS n, printf('%.7f', s) AS s, printf('%.7f', e) AS e, printf('%.7f', w) AS w, points AS nodes FROM boxes""")
 def way_record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = lines.way_records(denormalise.denormalised_ways(ways(spark, sf_dir), nodes(spark, sf_dir)), True)
-    listed = F.size(F.from_json(_json("$.nodes"), "array<struct<lat: string, lon: string>>")).cast("long")
-    return made.select(_json("$.id").cast("long").alias("id"), *(_json(f"$.bounds.{c}").alias(c) for c in "nsew"), listed.alias("nodes"))
+    read = _read(_read(made, "value", "id", "bounds", "nodes"), "bounds", *"nsew")
+    return read.select(F.col("id").cast("long").alias("id"), *"nsew", F.json_array_length("nodes").cast("long").alias("nodes"))
 
 
 @query(_WITH + """, sized AS (SELECT *, greatest(radians(e - w) * cos(radians((n + s) / 2)) * 6378137, 1e-6) * greatest(radians(n - s) * 6378137, 1e-6) AS area FROM kept)
@@ -421,7 +426,7 @@ UNION ALL SELECT DISTINCT 'relation', relation FROM kept JOIN customer ON relati
 def extract_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole tool: only nodes that a wanted way or relation needs are joined."""
     made = extracts.denormalised(nodes(spark, sf_dir), ways(spark, sf_dir), relations(spark, sf_dir), "boundary~administrative,kind~order,size~11")
-    return made.select(_json("$.type").alias("type"), _json("$.id").cast("long").alias("id"))
+    return _read(made, "value", "type", "id").select("type", F.col("id").cast("long").alias("id"))
 
 
 @query("""SELECT c_name AS title,

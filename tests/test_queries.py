@@ -80,3 +80,9 @@ def test_ways_are_kept_without_points_that_no_line_shows(spark, small, monkeypat
     made = [own.extracts.denormalised(own.nodes(spark, small), own.ways(spark, small), own.relations(spark, small), None, shown) for shown in (False, True)]
     assert ["points" in columns for columns in kept if "bounds" in columns] == [False, True]
     assert made[0].count() == made[1].count() > 0
+
+
+@pytest.mark.parametrize("name, passes", [("way_record_lines", 2), ("extract_lines", 1)])
+def test_made_lines_are_parsed_once(spark, small, name, passes):
+    plan = entry.queries()[name](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("json_tuple") == passes
